@@ -29,12 +29,18 @@ VIEWS = {
         {_KEY.format(d='doctor_id', day='slot_date', m='start_minute')} AS slot_id FROM bookings0)""",
     "slots": f"""SELECT doctor_id, slot_date, start_minute, CAST(slot_date AS TIMESTAMP) + to_minutes(start_minute) AS slot_start,
         {_KEY.format(d='doctor_id', day='slot_date', m='start_minute')} AS slot_id FROM (
-        SELECT doctor_id, slot_date, start_minute FROM bookings UNION SELECT doctor_id, slot_date, start_minute + 15 FROM bookings)""",
+        SELECT doctor_id, slot_date, start_minute FROM bookings UNION SELECT doctor_id, slot_date, start_minute + 15 FROM bookings WHERE start_minute % 45 = 0)""",
     "risk_scores": """SELECT o_orderkey AS booking_id, (o_orderkey * 7919 % 1000) / 1000.0::DOUBLE AS no_show_probability,
         CASE WHEN o_orderkey % 10 < 8 THEN 'v1' ELSE 'v0' END AS model_version FROM orders WHERE o_orderkey % 3 <> 0""",
     "standby": f"""SELECT user_id AS patient_id, event_id % (SELECT count(*) FROM supplier) AS doctor_id,
         DATE '{CALENDAR_START}' + CAST(event_id * 7 % {CALENDAR_DAYS} AS INTEGER) AS slot_date,
         min(event_id) AS standby_id, min(ts) AS created_at FROM events GROUP BY 1, 2, 3""",
+    "booking_log": """SELECT booking_id, epoch_us(slot_start) AS start_us, seq, status, at_us FROM (
+        SELECT booking_id, slot_start, 1 AS seq, CASE WHEN status = 'closed' THEN 'closed' ELSE 'confirmed' END AS status,
+          epoch_us(created_at) AS at_us FROM bookings
+        UNION ALL SELECT booking_id, slot_start, 2, status, epoch_us(created_at) + (booking_id % 60) * 86400000000 FROM bookings
+          WHERE status NOT IN ('confirmed', 'closed')
+        UNION ALL SELECT booking_id, slot_start, 3, 'completed', epoch_us(slot_start) + 1800000000 FROM bookings WHERE booking_id % 7 = 0)""",
     "raw_visits": """SELECT l_orderkey AS appointment_id,
         CAST(o_custkey AS DOUBLE) + CASE WHEN l_quantity = 50 THEN 0.5 ELSE 0.0 END AS patient_id,
         CASE WHEN o_custkey % 2 = 0 THEN 'F' ELSE 'M' END AS sex, o_orderdate AS scheduled_at, l_shipdate AS appointment_date,
@@ -58,7 +64,7 @@ VIEWS = {
         CAST(hour(ts) * 60 + minute(ts) AS DOUBLE) AS arrival, value AS service, event_type <> 'error' AS attends
         FROM events WHERE user_id IS NOT NULL""",
 }
-_NEEDS = {"bookings": ["bookings0"], "slots": ["bookings"], "visits": ["raw_visits"]}
+_NEEDS = {"bookings": ["bookings0"], "slots": ["bookings"], "booking_log": ["bookings"], "visits": ["raw_visits"]}
 
 
 def with_views(names: list[str], body: str) -> str:

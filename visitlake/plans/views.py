@@ -75,9 +75,10 @@ def slot_key(doctor, day, minute):
 
 
 def slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every booked quarter hour and the one after it, so that some slots are free."""
+    """Every booked quarter hour, and for every third quarter the one after it, so that some slots are free."""
     b = bookings(spark, sf_dir).select("doctor_id", "slot_date", "start_minute")
-    both = b.select("doctor_id", "slot_date", F.explode(F.array("start_minute", F.col("start_minute") + 15)).alias("start_minute"))
+    both = b.select("doctor_id", "slot_date", F.explode(F.array_compact(F.array(
+        "start_minute", F.when(F.col("start_minute") % 45 == 0, F.col("start_minute") + 15)))).alias("start_minute"))
     return (both.distinct()
             .withColumn("slot_start", C.at_minute(F.col("slot_date"), F.col("start_minute")))
             .withColumn("slot_id", slot_key(F.col("doctor_id"), F.col("slot_date"), F.col("start_minute"))))
@@ -102,6 +103,24 @@ def standby(spark: SparkSession, sf_dir: str) -> DataFrame:
             .agg(F.min("event_id").alias("standby_id"), F.min("ts").alias("created_at")))
 
 
+def booking_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status changes: every booking is made, most change once, every seventh is marked completed after its start."""
+    b = bookings(spark, sf_dir)
+    made, start = C.micros(F.col("created_at")), C.micros(F.col("slot_start"))
+    day, half_hour = 86_400_000_000, 1_800_000_000
+
+    def row(seq, status, at):
+        return F.struct(F.lit(seq).alias("seq"), status.alias("status"), at.alias("at_us"))
+
+    first = F.when(F.col("status") == "closed", "closed").otherwise("confirmed")
+    changes = F.array(
+        row(1, first, made),
+        F.when(~F.col("status").isin("confirmed", "closed"), row(2, F.col("status"), made + (F.col("booking_id") % 60) * day)),
+        F.when(F.col("booking_id") % 7 == 0, row(3, F.lit("completed"), start + half_hour)))
+    return (b.select("booking_id", start.alias("start_us"), F.explode(F.filter(changes, lambda c: c.isNotNull())).alias("c"))
+            .select("booking_id", "start_us", "c.seq", "c.status", "c.at_us"))
+
+
 # ---- research tables ---------------------------------------------------------------------------------------
 def raw_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visits with a known outcome, still carrying the defects that cleaning removes."""
