@@ -8,7 +8,7 @@ its own and starts from the totals of the ranges before it. No row is dropped an
 """
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -148,27 +148,33 @@ def previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: S
     return out.select(*df.columns, *[F.col(f"__prev.v{i}").alias(prefix + v) for i, v in enumerate(values)])
 
 
-def exact_percentiles(df: DataFrame, value: str, fractions: Mapping[str, float], by: Sequence[str] = ()) -> DataFrame:
-    """Percentiles by linear interpolation, one row per `by` key, without holding the values in one task.
+def rank_neighbours(df: DataFrame, value: str, fractions: Mapping[str, float], by: Sequence[str] = ()) -> DataFrame:
+    """For each named fraction the two values around its rank: lo_<name>, hi_<name> and the weight w_<name> of the upper one.
 
-    Equal values are counted first; running counts over the distinct values then locate the two neighbours of each rank.
+    Equal values are counted first; running counts over the distinct values then locate the ranks, so no task holds the values.
     """
     by = list(by)
-    counts = (df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n")))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
     ranked = running(counts, by, [value], {"__upto": run_sum(F.col("__n"))})
     sizes = counts.groupBy(*by).agg(F.sum("__n").alias("__size"))
-    # one row per key on the right: a single row when there is no key, otherwise AQE picks the side to send
+    # without a key the right side is a single row; with keys AQE picks the side to send
     sized = ranked.crossJoin(F.broadcast(sizes)) if not by else ranked.join(sizes, by)
-    size = F.col("__size")
-    picks = []
-    for name, q in fractions.items():
-        rank = F.lit(float(q)) * (size - 1)
-        picks += [F.min(F.when(F.col("__upto") > F.floor(rank), F.col(value))).alias(f"__lo_{name}"),
-                  F.min(F.when(F.col("__upto") > F.ceil(rank), F.col(value))).alias(f"__hi_{name}")]
-    found = sized.groupBy(*by).agg(F.max("__size").alias("__size"), *picks)
-    out = []
+    size, picks = F.col("__size"), []
     for name, q in fractions.items():
         rank = F.lit(float(q)) * (size - 1)
-        low, high = F.col(f"__lo_{name}"), F.col(f"__hi_{name}")
-        out.append((low + (high - low) * (rank - F.floor(rank))).alias(name))
-    return found.select(*by, *out)
+        picks += [F.min(F.when(F.col("__upto") > F.floor(rank), F.col(value))).alias(f"lo_{name}"),
+                  F.min(F.when(F.col("__upto") > F.ceil(rank), F.col(value))).alias(f"hi_{name}"),
+                  F.max(rank - F.floor(rank)).alias(f"w_{name}")]
+    return sized.groupBy(*by).agg(*picks)
+
+
+def between_ranks(name: str, monotone: Callable[[Column], Column] = lambda c: c) -> Column:
+    """The interpolated percentile of monotone(value), from the columns of `rank_neighbours`."""
+    low, high = monotone(F.col(f"lo_{name}")), monotone(F.col(f"hi_{name}"))
+    return low + (high - low) * F.col(f"w_{name}")
+
+
+def exact_percentiles(df: DataFrame, value: str, fractions: Mapping[str, float], by: Sequence[str] = ()) -> DataFrame:
+    """Percentiles by linear interpolation, one row per `by` key."""
+    found = rank_neighbours(df, value, fractions, by)
+    return found.select(*by, *[between_ranks(name).alias(name) for name in fractions])
