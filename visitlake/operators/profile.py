@@ -108,9 +108,11 @@ def mean_ci(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 
 def paired_diff(a: DataFrame, b: DataFrame, unit: Sequence[str], keys: Sequence[str], value: str) -> DataFrame:
-    """Mean of a - b over units with a 95% interval; a pair with a missing side is dropped."""
-    on = list(dict.fromkeys([*unit, *keys]))
-    left = a.select(*on, F.col(value).alias("__a"))
-    right = b.select(*on, F.col(value).alias("__b"))
-    diff = left.join(right, on).where(F.col("__a").isNotNull() & F.col("__b").isNotNull()).withColumn("diff", F.col("__a") - F.col("__b"))
+    """Mean of a - b over units with a 95% interval; a pair with a missing side is dropped.
+
+    Rows pair on the `unit` columns; `keys` are columns of `a` (or of the unit) to report by.
+    """
+    left = a.select(*dict.fromkeys([*unit, *keys]), F.col(value).alias("__a"))
+    right = b.select(*unit, F.col(value).alias("__b"))
+    diff = left.join(right, list(unit)).where(F.col("__a").isNotNull() & F.col("__b").isNotNull()).withColumn("diff", F.col("__a") - F.col("__b"))
     return mean_ci(diff, keys, "diff")

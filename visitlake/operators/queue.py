@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .profile import mean_ci
+from .profile import mean_ci, paired_diff
 from .running import run_max, run_sum, running
 from .selection import every_kth, positional_join
 
@@ -91,7 +91,5 @@ def policy_summary(metrics: DataFrame, keys: Sequence[str], names: Sequence[str]
 def policy_paired(metrics: DataFrame, keys: Sequence[str], reference: str, names: Sequence[str] = REPORTED) -> DataFrame:
     """Paired difference to the reference policy, session by session."""
     long = _long(metrics, keys, names)
-    b = long.where(F.col("policy") == reference).select(*keys, "metric", F.col("value").alias("__b"))
-    diff = (long.where(F.col("policy") != reference).join(b, [*keys, "metric"])
-            .where(F.col("value").isNotNull() & F.col("__b").isNotNull()).withColumn("diff", F.col("value") - F.col("__b")))
-    return mean_ci(diff, ["policy", "metric"], "diff")
+    base, others = long.where(F.col("policy") == reference), long.where(F.col("policy") != reference)
+    return paired_diff(others, base, [*keys, "metric"], ["policy", "metric"], "value")
