@@ -60,9 +60,9 @@ VIEWS = {
           + 0.7::DOUBLE * ((CAST(round(l_extendedprice * 100) AS BIGINT) * 7919 % 10007) / 10007.0::DOUBLE) + 0.05::DOUBLE AS p,
         (l_linenumber % 4 + CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) / 8.0::DOUBLE + l_discount * 2 AS p2
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag IN ('R', 'A')""",
-    "sessions": """SELECT user_id, CAST(ts AS DATE) AS day, epoch_us(ts) AS seq, event_id,
-        CAST(hour(ts) * 60 + minute(ts) AS DOUBLE) AS arrival, value AS service, event_type <> 'error' AS attends
-        FROM events WHERE user_id IS NOT NULL""",
+    "sessions": """SELECT CAST(ts AS DATE) AS day, CAST(floor(hour(ts) / 12) AS INTEGER) AS half_day, epoch_us(ts) AS at_us, event_id,
+        CAST(hour(ts) % 12 * 60 + minute(ts) AS DOUBLE) AS arrival, value AS service, event_type <> 'error' AS attends,
+        (event_id * 7919 % 1000) / 1000.0::DOUBLE AS risk FROM events""",
 }
 _NEEDS = {"bookings": ["bookings0"], "slots": ["bookings"], "booking_log": ["bookings"], "visits": ["raw_visits"]}
 

@@ -162,9 +162,9 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Queue rows: one session per user and day, in event order."""
+    """Queue rows: one session per half day, in event order; risk is the chance that the patient stays away."""
     ts = F.col("ts")
-    return table(spark, sf_dir, "events").where(F.col("user_id").isNotNull()).select(
-        "user_id", F.to_date(ts).alias("day"), C.micros(ts).alias("seq"), "event_id",
-        ((F.hour(ts) * 60 + F.minute(ts)) * 1.0).alias("arrival"), F.col("value").alias("service"),
-        (F.col("event_type") != "error").alias("attends"))
+    return table(spark, sf_dir, "events").select(
+        F.to_date(ts).alias("day"), F.floor(F.hour(ts) / 12).cast("int").alias("half_day"), C.micros(ts).alias("at_us"), "event_id",
+        ((F.hour(ts) % 12 * 60 + F.minute(ts)) * F.lit(1.0)).alias("arrival"), F.col("value").alias("service"),
+        (F.col("event_type") != "error").alias("attends"), ((F.col("event_id") * 7919 % 1000) / F.lit(1000.0)).alias("risk"))
