@@ -277,7 +277,7 @@ def latest_state(spark, sf):
     return audit.latest_state(V.booking_log(spark, sf))
 
 
-@query("validate_rows", """
+@query("validate_rows", r"""
 WITH forms AS (SELECT o_orderkey AS form_id, CASE WHEN o_orderkey % 11 = 0 THEN '  ' ELSE c_name END AS name,
   CASE WHEN o_orderkey % 7 = 0 THEN c_name ELSE c_name || '@clinic.example' END AS email, o_orderpriority AS password,
   CASE WHEN o_orderkey % 13 = 0 THEN '1890-01-01' WHEN o_orderkey % 17 = 0 THEN 'soon' ELSE CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS date_of_birth,
