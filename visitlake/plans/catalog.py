@@ -33,8 +33,8 @@ def present(df: DataFrame) -> DataFrame:
     for field in df.schema.fields:
         c = F.col(f"`{field.name}`")
         if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-            # adding 0 turns a negative zero into zero
-            c = F.round(c, 6) + F.lit(0.0)
+            # the nudge keeps decimal ties from depending on the order of a sum; adding 0 turns a negative zero into zero
+            c = F.round(c + F.lit(1e-9), 6) + F.lit(0.0)
         elif isinstance(field.dataType, T.DateType):
             c = F.date_format(c, "yyyy-MM-dd")
         elif isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType)):

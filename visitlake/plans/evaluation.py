@@ -169,7 +169,7 @@ def baseline_rule(spark, sf):
 
 @query("mean_vs_prevalence", with_views(["scored"], f"""
 SELECT 'p' AS model, {num('avg(p)', 'mean_predicted')}, {num('avg(y)', 'prevalence')} FROM scored
-UNION ALL SELECT 'p2', round(avg(p2), 6), round(avg(y), 6) FROM scored"""))
+UNION ALL SELECT 'p2', {num('avg(p2)', 'm')}, {num('avg(y)', 'v')} FROM scored"""))
 def mean_vs_prevalence(spark, sf):
     return profile.mean_vs_prevalence(V.scored(spark, sf), {"p": "p", "p2": "p2"})
 
@@ -311,7 +311,7 @@ def upsert_by_key(spark, sf):
 
 @query("union_reports", with_views(["scored"], f"""
 SELECT 'cv' AS stage, fold, {num('avg(p)', 'mean_predicted')}, CAST(NULL AS BIGINT) AS n, CAST(NULL AS DOUBLE) AS prevalence FROM scored GROUP BY fold
-UNION ALL SELECT 'holdout', NULL, round(avg(p), 6), count(*), round(avg(y), 6) FROM scored"""))
+UNION ALL SELECT 'holdout', NULL, {num('avg(p)', 'm')}, count(*), {num('avg(y)', 'v')} FROM scored"""))
 def union_reports(spark, sf):
     s = V.scored(spark, sf)
     cv = s.groupBy("fold").agg(F.avg("p").alias("mean_predicted")).withColumn("stage", F.lit("cv"))

@@ -10,6 +10,8 @@ from .catalog import query
 
 COLUMNS = tuple(features.columns_for(features.DATED_GROUPS))
 LR = training.Recipe("logistic_regression", COLUMNS)
+SIX = training.Recipe("logistic_regression", risk.FEATURES)
+GROUPS = {g: c for g, c in features.DATED_GROUPS.items() if g in ("history", "lead_calendar", "demographics")}
 K = 5
 
 
@@ -31,13 +33,13 @@ def booked(spark, sf):
 @query("oof_scores")
 def oof_scores(spark, sf):
     train, _ = prepared(spark, sf)
-    return training.fold_scores(training.out_of_fold(LR, train, K), "no_show")
+    return training.fold_scores(training.out_of_fold(SIX, train, K), "no_show")
 
 
 @query("tuning")
 def tuning(spark, sf):
     train, _ = prepared(spark, sf)
-    return training.tune(LR, train, K)
+    return training.tune(SIX, train, K)
 
 
 @query("model_holdout")
@@ -65,20 +67,19 @@ def model_ladder(spark, sf):
 @query("calibration_methods")
 def calibration_methods(spark, sf):
     train, _ = prepared(spark, sf)
-    recipe = training.Recipe("logistic_regression", risk.FEATURES)
-    return training.calibration_methods(recipe, train, "patient_id", K)
+    return training.calibration_methods(SIX, train, "patient_id", K)
 
 
 @query("ablation")
 def ablation(spark, sf):
     train, _ = prepared(spark, sf)
-    return training.ablation(LR, train, K, training.ablation_variants(features.DATED_GROUPS))
+    return training.ablation(SIX, train, K, training.ablation_variants(GROUPS))
 
 
 @query("imbalance")
 def imbalance(spark, sf):
     train, holdout = prepared(spark, sf)
-    return training.imbalance(LR, train, holdout)
+    return training.imbalance(SIX, train, holdout)
 
 
 @query("transfer")
@@ -97,7 +98,7 @@ def transfer(spark, sf):
 def bulk_score(spark, sf):
     """Every usable booking scored by the six-feature model; the band counts of the run."""
     train, _ = prepared(spark, sf)
-    model = training.fit(training.Recipe("logistic_regression", risk.FEATURES), train)
+    model = training.fit(SIX, train)
     f = risk.deployable_features(V.bookings(spark, sf), V.patients(spark, sf))
     good, bad = risk.split_scores(model.score(f.where(F.col("usable") == 1), "no_show_probability"))
     return risk.band_counts(good, 0.19, 0.38).crossJoin(F.broadcast(bad.agg(F.count(F.lit(1)).alias("rejected"))))

@@ -97,7 +97,8 @@ def time_text(expr: str, name: str) -> str:
 
 
 def num(expr: str, name: str) -> str:
-    return f"round(CAST({expr} AS DOUBLE), 6) AS {name}"
+    """Six decimals, nudged like catalog.present so that a decimal tie rounds the same way in both engines."""
+    return f"round(CAST({expr} AS DOUBLE) + 1e-9::DOUBLE, 6) + 0.0::DOUBLE AS {name}"
 
 
 def big(expr: str, name: str) -> str:

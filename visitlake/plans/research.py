@@ -173,7 +173,7 @@ def profile_long(spark, sf):
 WITH m AS (SELECT event_type, count(*) AS n, avg(ln(value)) AS mu, stddev_pop(ln(value)) AS s, avg(value) AS md FROM events WHERE value > 0 GROUP BY 1),
 l AS (SELECT e.event_type, sum(-ln(m.s) - 0.9189385332046727::DOUBLE - pow(ln(e.value) - m.mu, 2) / (2 * m.s * m.s) - ln(e.value)) AS ll
   FROM events e JOIN m ON m.event_type = e.event_type WHERE e.value > 0 GROUP BY 1)
-SELECT event_type, {big('n', 'n')}, {num('mu', 'mu')}, {num('s', 'sigma')}, round(ll, 2) AS log_likelihood, round(4 - 2 * ll, 2) AS aic,
+SELECT event_type, {big('n', 'n')}, {num('mu', 'mu')}, {num('s', 'sigma')}, {num('round(ll, 2)', 'log_likelihood')}, {num('round(4 - 2 * ll, 2)', 'aic')},
   {num('exp(mu + s * s / 2)', 'mean_fitted')}, {num('md', 'mean_data')} FROM m JOIN l USING (event_type)""")
 def lognormal_fit(spark, sf):
     out = profile.lognormal_fit(V.table(spark, sf, "events"), "value", ["event_type"])
