@@ -33,12 +33,3 @@ def build_session(app_name: str = "visitlake", master: str | None = None, **conf
     session.sparkContext.setLogLevel("ERROR")
     return session
 
-
-def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | None:
-    """The shared checkpoint folder of the cluster; `fallback` is used (and set) only where none is configured."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    if fallback:
-        spark.sparkContext.setCheckpointDir(fallback)
-    return fallback
