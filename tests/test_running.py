@@ -31,7 +31,7 @@ def expected(data):
     return out
 
 
-@pytest.mark.parametrize("limit", ["1000000", "20", "1"])
+@pytest.mark.parametrize("limit", ["1000000", "20", "8"])
 def test_running_matches_a_loop(spark, limit):
     from visitlake.operators.running import HOT_ROWS_CONF
 

@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HOT_KEYS = 4096        # a key beyond the HOT_KEYS largest holds at most 1/4096 of all rows
-SAMPLE = 4096          # rows looked at to place the cuts (never the rows that are computed on)
-RANGES = 64            # ordered ranges per large key
+MAX_RANGES = 512       # ordered ranges per large key; fewer when the largest key needs fewer
+SAMPLE_PER_RANGE = 16  # rows looked at to place each cut (never the rows that are computed on)
+BROADCAST_ROWS = 200_000
 HOT_ROWS_CONF = "spark.visitlake.hotGroupRows"
 DEFAULT_HOT_ROWS = 2_000_000
 
@@ -77,8 +78,7 @@ def _ranges_column(splits: list[tuple], order: list[Column]) -> Column:
     return tree(0, len(splits))
 
 
-def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], runs: Mapping[str, Run],
-            ranges: int = RANGES) -> DataFrame:
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], runs: Mapping[str, Run]) -> DataFrame:
     """Add running values per `keys` in the ascending order of the `order` columns.
 
     `order` must be numeric or string columns and should be unique within a key (aggregate ties first, or end with an id):
@@ -99,20 +99,23 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], runs: Mapp
     else:
         marked = df.withColumn("__hot", F.lit(True))
     typed = [F.col(c) for c in order]
+    ranges = min(MAX_RANGES, max(2, -(-2 * large[0]["n_rows"] // limit_rows)))
 
     # split points: the rows with the smallest hashes, so a recomputed task finds the same ones
     sample = (marked.where(F.col("__hot")).select(*keys, *order).withColumn("__h", F.xxhash64(*keys, *order))
-              .orderBy("__h", *order).limit(SAMPLE).select(*order).distinct().orderBy(*order).collect())
+              .orderBy("__h", *order).limit(SAMPLE_PER_RANGE * ranges).select(*order).distinct().orderBy(*order).collect())
     step = max(1, len(sample) // ranges)
-    splits = [tuple(row) for row in sample[step::step]]
+    splits = [tuple(row) for row in sample[step::step]][:ranges - 1]
     marked = marked.withColumn("__range", F.when(F.col("__hot"), _ranges_column(splits, typed)).otherwise(F.lit(0)))
 
-    # totals of each range of each large key: at most HOT_KEYS * (ranges + 1) rows
+    # totals of each range of each large key: at most len(large) * ranges rows, sent to all tasks only while that is small
     totals = (marked.where(F.col("__hot")).groupBy(*keys, "__range")
               .agg(*[_AGG[r.kind](r.column).alias(f"__t_{n}") for n, r in runs.items()]))
     earlier = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = F.broadcast(totals.select(*keys, "__range", *[
-        _AGG[r.kind](f"__t_{n}").over(earlier).alias(f"__off_{n}") for n, r in runs.items()]))
+    offsets = totals.select(*keys, "__range", *[
+        _AGG[r.kind](f"__t_{n}").over(earlier).alias(f"__off_{n}") for n, r in runs.items()])
+    if len(large) * ranges <= BROADCAST_ROWS:
+        offsets = F.broadcast(offsets)
     joined = _null_safe_left(marked, offsets, keys + ["__range"])
     local = Window.partitionBy(*keys, "__range").orderBy(*order)
     return joined.select(

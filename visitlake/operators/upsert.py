@@ -27,13 +27,11 @@ def union_reports(first: DataFrame, *others: DataFrame) -> DataFrame:
 
 
 def lineage_entry(result: str, script: str, seed: int, inputs: DataFrame) -> DataFrame:
-    """One lineage row from input fingerprints (path, sha256); fails when a fingerprint is missing."""
-    checked = F.when(F.col("sha256").isNotNull(), F.struct("path", "sha256")).otherwise(
-        F.raise_error(F.lit("input without fingerprint")).cast("struct<path:string,sha256:string>"))
-    return inputs.agg(F.to_json(F.array_sort(F.collect_list(checked))).alias("data_files")).select(  # one entry per input file
-        F.lit(result).alias("result"), F.lit(script).alias("script"), F.lit(seed).alias("seed"), "data_files")
+    """One lineage row per input file of a result, from fingerprints (path, sha256); fails when a fingerprint is missing."""
+    checked = F.when(F.col("sha256").isNotNull(), F.col("sha256")).otherwise(F.raise_error(F.lit("input without fingerprint")).cast("string"))
+    return inputs.select(F.lit(result).alias("result"), F.lit(script).alias("script"), F.lit(seed).alias("seed"), "path", checked.alias("sha256"))
 
 
 def record_result(lineage: DataFrame, entry: DataFrame) -> DataFrame:
-    """The lineage table with only this result's entry replaced."""
+    """The lineage table with only this result's rows replaced."""
     return upsert_by_key(lineage, entry, ["result"])
