@@ -111,3 +111,22 @@ def test_scoring_stream_keeps_the_newest_score_and_the_rejects(spark, tmp_path):
     start(str(tmp_path / "cp"))
     assert {(r["booking_id"], r["no_show_probability"]) for r in jobs.current_scores(spark, out).collect()} == {(1, 0.7)}
     assert {(r["booking_id"], r["reason"]) for r in spark.read.parquet(f"{out}/rejects").collect()} == {(2, "probability"), (3, "refused")}
+
+
+def test_batch_scores_use_a_history_snapshot(spark):
+    """New bookings take their history from the table of known outcomes, not from the batch."""
+    from datetime import date, datetime
+
+    from visitlake.operators.risk import deployable_features
+
+    schema = "booking_id long, patient_id long, created_at timestamp_ntz, slot_date date, status string"
+    past = spark.createDataFrame([(1, 9, datetime(2030, 1, 1), date(2030, 1, 5), "no_show"), (2, 9, datetime(2030, 1, 1), date(2030, 1, 9), "completed"),
+                                  (3, 9, datetime(2030, 1, 1), date(2030, 1, 8), "cancelled")], schema)
+    new = spark.createDataFrame([(10, 9, datetime(2030, 1, 10, 8), date(2030, 1, 14), "confirmed"), (11, 9, datetime(2030, 1, 9), date(2030, 1, 8), "confirmed"),
+                                 (12, 8, datetime(2030, 1, 9), date(2030, 1, 9), "confirmed")], schema)
+    profiles = spark.createDataFrame([(9, date(1990, 1, 15), "F")], "patient_id long, date_of_birth date, sex string")
+    got = {r["booking_id"]: r for r in deployable_features(new, profiles, past).collect()}
+    assert set(got) == {10, 11}  # patient 8 has no profile
+    r = got[10]
+    assert (r["age"], r["is_female"], r["lead_days"], r["appt_weekday"], r["prev_appointments"], r["prev_no_show_rate"], r["usable"]) == (39, 1, 4, 0, 2, 0.5, 1)
+    assert got[11]["usable"] == 0 and got[11]["age"] is None

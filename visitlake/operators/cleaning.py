@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 
+# fixed values: limits, and the rule names and kinds written to the log
 MAX_AGE = 110
 MAX_SERVICE_SECONDS = 4 * 3600
 CLINIC_HOURS = (7, 21)

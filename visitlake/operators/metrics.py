@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from .running import run_sum, running
 
+# fixed values: precision targets and metric names
 PRECISION_TARGETS = (0.30, 0.40, 0.50)
 METRICS = ("auc_roc", "avg_precision", "brier", "sens_at_prec_30", "sens_at_prec_40", "sens_at_prec_50")
 
