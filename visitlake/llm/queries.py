@@ -4,7 +4,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitlake.llm import exact_dedup, url_cascade
+from visitlake.llm import exact_dedup, grammar_files, packing, url_cascade
+from visitlake.llm.store import new_folder
+from visitlake.llm.tokens import vocabulary_path
 from visitlake.plans.catalog import query
 
 
@@ -12,6 +14,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op4_grammar_files")
+def op4_grammar_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "grammar")
+    grammar_files.write_grammar_files(table(spark, sf_dir, "documents"), folder, vocabulary_path())
+    return grammar_files.read_grammar_files(spark, folder)
+
+
 @query("op5_exact_dedup", r"""
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept,
@@ -21,6 +30,12 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_classes(table(spark, sf_dir, "documents"))
 
 
+@query("op8_packing")
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary_path())
+    return placed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"),
              ("block", "com", "/de/")]
 

@@ -18,12 +18,16 @@ def work_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{work_folder(spark)}/visitlake-{name}-{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write `df` once as Parquet into the shared folder and return the table read back.
 
     The plan above starts from files that outlive any executor, and what made them runs once however often it is read.
     """
     spark = df.sparkSession
-    path = f"{work_folder(spark)}/visitlake-{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
