@@ -4,16 +4,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitlake.llm import exact_dedup, grammar_files, packing, url_cascade
+from visitlake.llm import exact_dedup, grammar_files, packing, pseudonyms, url_cascade
 from visitlake.llm.store import new_folder
 from visitlake.llm.tokens import vocabulary_path
 from visitlake.plans.catalog import query
 
 
+#: a deployment passes its own secret; this one makes the registered query repeatable
+PSEUDONYM_SECRET = "visitlake-check"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op3_pseudonyms")
+def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its text pseudonymised, how many values were replaced, and what they are now."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = pseudonyms.pseudonymise(docs, PSEUDONYM_SECRET)
+    shown = F.transform("pii", lambda p: F.concat_ws(":", p["kind"], p["start"].cast("string"), p["pseudonym"]))
+    return out.select("doc_id", "text", F.size("pii").cast("long").alias("n_replaced"), F.array_join(shown, " | ").alias("pseudonyms"))
+
+
 @query("op4_grammar_files")
 def op4_grammar_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "grammar")
