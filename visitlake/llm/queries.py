@@ -1,10 +1,10 @@
 """The registered queries of the operators and their SQL."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitlake.llm import exact_dedup, grammar_files, packing, pseudonyms, url_cascade
+from visitlake.llm import exact_dedup, grammar_files, language, packing, pseudonyms, url_cascade
 from visitlake.llm.store import new_folder
 from visitlake.llm.tokens import vocabulary_path
 from visitlake.plans.catalog import query
@@ -43,6 +43,18 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_classes(table(spark, sf_dir, "documents"))
 
 
+def held_out() -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+
+
+@query("op6_language")
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    dictionaries = language.fit_dictionaries(docs.where(~held_out()).select("text", "lang"))
+    found = language.identify(docs.select("doc_id", held_out().alias("held_out"), "text"), dictionaries)
+    return found.select("doc_id", "held_out", "lang_pred", "score", "accepted")
+
+
 @query("op8_packing")
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary_path())
