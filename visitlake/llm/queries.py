@@ -4,8 +4,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitlake.llm import exact_dedup, grammar_files, language, packing, pseudonyms, url_cascade
-from visitlake.llm.store import new_folder
+from visitlake.llm import exact_dedup, grammar_files, language, mixing, packing, pseudonyms, url_cascade
+from visitlake.llm.store import materialise, new_folder
 from visitlake.llm.tokens import vocabulary_path
 from visitlake.plans.catalog import query
 
@@ -18,6 +18,71 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: sources of each domain; all others are `books`
+DOMAINS = {"web": ["src0"], "reference": ["src1", "src2", "src3", "src4", "src5", "src6"],
+           "forum": ["src7", "src8", "src9", "src10", "src11", "src12"]}
+MIX_WEIGHTS = {("web",): 4, ("reference",): 3, ("forum",): 2, ("books",): 2, ("*", "en"): 5, ("*", "de"): 2, ("*", "fr"): 2, ("*", "es"): 1,
+               ("web", "en"): 6}
+MIX_EPOCHS, MIX_SEED = 4, "mix-1"
+
+
+def domain(source: Column) -> Column:
+    out = F.lit("books")
+    for name, sources in DOMAINS.items():
+        out = F.when(source.isin(sources), F.lit(name)).otherwise(out)
+    return out
+
+
+def mix_levels() -> dict[str, Column]:
+    return {"domain": domain(F.col("source")), "lang": F.col("lang"), "source": F.col("source")}
+
+
+def _fill_sql(depth: int) -> str:
+    """One level of water filling for the SQL of the mixture."""
+    path = ["l0", "l1", "l2"][:depth]
+    parents = path[:-1]
+    weight = {1: "CASE l0 WHEN 'web' THEN 4 WHEN 'reference' THEN 3 WHEN 'forum' THEN 2 WHEN 'books' THEN 2 ELSE 1 END",
+              2: "CASE WHEN l0 = 'web' AND l1 = 'en' THEN 6 ELSE CASE l1 WHEN 'en' THEN 5 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 WHEN 'es' THEN 1 ELSE 1 END END",
+              3: "1"}[depth]
+    above = "(SELECT least(sum(supply * 4), sum(supply))::BIGINT AS budget FROM leaves)" if depth == 1 else f"share{depth - 1}"
+    join = "CROSS JOIN" if depth == 1 else "JOIN"
+    using = f"USING ({', '.join(parents)})" if parents else ""
+    part = f"PARTITION BY {', '.join(parents)}" if parents else ""
+    return f"""
+n{depth} AS (SELECT {', '.join(path)}, sum(supply * 4)::BIGINT AS cap, ({weight})::BIGINT AS weight FROM leaves GROUP BY ALL),
+a{depth} AS (SELECT *, (sum(cap) OVER o)::BIGINT - cap AS before, (sum(weight) OVER ({part}))::BIGINT - (sum(weight) OVER o)::BIGINT + weight AS rest
+       FROM n{depth} {join} {above} {using}
+       WINDOW o AS ({part} ORDER BY cap / weight, {path[-1]} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+f{depth} AS (SELECT *, cap / weight <= (budget - before) / rest AS full_ FROM a{depth}),
+s{depth} AS (SELECT *, (sum(CASE WHEN full_ THEN cap ELSE 0 END) OVER ({part}))::BIGINT AS taken,
+             (sum(CASE WHEN full_ THEN 0 ELSE weight END) OVER ({part}))::BIGINT AS free FROM f{depth}),
+share{depth} AS (SELECT {', '.join(path)}, CASE WHEN full_ THEN cap ELSE ((budget - taken) * weight) // nullif(free, 0) END::BIGINT AS budget FROM s{depth}),"""
+
+
+MIX_SQL = r"""
+WITH d AS (
+  SELECT doc_id, lang, source, CASE WHEN source = 'src0' THEN 'web'
+      WHEN source IN ('src1', 'src2', 'src3', 'src4', 'src5', 'src6') THEN 'reference'
+      WHEN source IN ('src7', 'src8', 'src9', 'src10', 'src11', 'src12') THEN 'forum' ELSE 'books' END AS domain,
+    coalesce(len(regexp_extract_all(text, '[^ 	-]+')), 0)::BIGINT AS tokens FROM documents),
+leaf AS (SELECT *, domain AS l0, coalesce(lang, '') AS l1, coalesce(source, '') AS l2 FROM d),
+leaves AS (SELECT l0, l1, l2, sum(tokens)::BIGINT AS supply FROM leaf GROUP BY ALL),""" + "".join(_fill_sql(k) for k in (1, 2, 3)) + """
+plan AS (SELECT l0, l1, l2, budget // supply AS epochs, budget % supply AS rest FROM share3 JOIN leaves USING (l0, l1, l2) WHERE supply > 0),
+h AS (SELECT doc_id, domain, lang, source, tokens, l0, l1, l2, epochs, rest,
+        md5('mix-1|' || epochs || '|' || doc_id) AS place FROM leaf JOIN plan USING (l0, l1, l2)),
+c AS (SELECT *, sum(tokens) OVER (PARTITION BY l0, l1, l2 ORDER BY place RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM h),
+t AS (SELECT *, epochs + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END AS times FROM c)
+SELECT doc_id, domain, lang, source, tokens, unnest(range(0, times))::INTEGER AS epoch FROM t WHERE times > 0"""
+
+
+@query("op1_mixing", MIX_SQL)
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", domain(F.col("source")).alias("domain"), "lang", "source", mixing.word_count(F.col("text")).alias("tokens"))
+    counted = materialise(docs, "counted")
+    levels = {c: F.col(c) for c in ("domain", "lang", "source")}
+    return mixing.mix(counted, levels, MIX_WEIGHTS, F.col("tokens"), max_epochs=MIX_EPOCHS, seed=MIX_SEED)
+
+
 @query("op3_pseudonyms")
 def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its text pseudonymised, how many values were replaced, and what they are now."""
