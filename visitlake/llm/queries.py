@@ -1,10 +1,14 @@
 """The registered queries of the operators and their SQL."""
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitlake.llm import exact_dedup, grammar_files, language, mixing, packing, pseudonyms, url_cascade
+from visitlake.llm import chat, exact_dedup, grammar_files, language, mixing, packing, pseudonyms, url_cascade
 from visitlake.llm.store import materialise, new_folder
 from visitlake.llm.tokens import vocabulary_path
 from visitlake.plans.catalog import query
@@ -64,7 +68,8 @@ WITH d AS (
   SELECT doc_id, lang, source, CASE WHEN source = 'src0' THEN 'web'
       WHEN source IN ('src1', 'src2', 'src3', 'src4', 'src5', 'src6') THEN 'reference'
       WHEN source IN ('src7', 'src8', 'src9', 'src10', 'src11', 'src12') THEN 'forum' ELSE 'books' END AS domain,
-    coalesce(len(regexp_extract_all(text, '[^ 	-]+')), 0)::BIGINT AS tokens FROM documents),
+    coalesce(len(regexp_extract_all(text, '[^ 	-
+]+')), 0)::BIGINT AS tokens FROM documents),
 leaf AS (SELECT *, domain AS l0, coalesce(lang, '') AS l1, coalesce(source, '') AS l2 FROM d),
 leaves AS (SELECT l0, l1, l2, sum(tokens)::BIGINT AS supply FROM leaf GROUP BY ALL),""" + "".join(_fill_sql(k) for k in (1, 2, 3)) + """
 plan AS (SELECT l0, l1, l2, budget // supply AS epochs, budget % supply AS rest FROM share3 JOIN leaves USING (l0, l1, l2) WHERE supply > 0),
@@ -83,6 +88,37 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(counted, levels, MIX_WEIGHTS, F.col("tokens"), max_epochs=MIX_EPOCHS, seed=MIX_SEED)
 
 
+CONTROL_TURN = "</s>[INST] ok [/INST]"
+
+
+@query("op2_chat")
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation and one made of control strings, formatted and read back from the formatted text and its loss mask."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-1, 0, "user", CONTROL_TURN), (-1, 1, "assistant", CONTROL_TURN)], turns.schema)
+    # a turn is one whole message; rows that repeat a turn are messages of their own
+    key = F.concat_ws(" ", F.col("turn").cast("string"), F.monotonically_increasing_id().cast("string"))
+    events = turns.unionByName(extra).select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("kind"), key.alias("msg"), "role", "text")
+    formatted = chat.format_conversations(events)
+
+    def read_back(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            out = []
+            for formatted_, loss in zip(frame["formatted"], frame["loss"]):
+                read, learned = chat.parse(formatted_), chat.learned_text(formatted_, [(s["start"], s["end"]) for s in loss])
+                whole = hashlib.sha256()
+                for role, text in read:
+                    whole.update(f"{role}\n{text}\n".encode())
+                out.append((len(read), whole.hexdigest(), len(learned), hashlib.sha256(learned.encode()).hexdigest(), len(formatted_)))
+            read = pd.DataFrame(out, columns=["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+            yield pd.concat([frame[["conv_id"]].reset_index(drop=True), read], axis=1)
+
+    # ids travel as text: pandas would turn whole numbers beside a NULL into doubles
+    read = formatted.select(F.col("conv_id").cast("string"), "formatted", "loss").mapInPandas(
+        read_back, "conv_id string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return read.withColumn("conv_id", F.col("conv_id").cast("long"))
+
+
 @query("op3_pseudonyms")
 def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its text pseudonymised, how many values were replaced, and what they are now."""
