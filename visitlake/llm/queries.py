@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitlake.llm import chat, exact_dedup, grammar_files, language, mixing, packing, pseudonyms, url_cascade
+from visitlake.llm import chat, exact_dedup, grammar_files, language, mixing, packing, pseudonyms, set_join, url_cascade
 from visitlake.llm.store import materialise, new_folder
 from visitlake.llm.tokens import vocabulary_path
 from visitlake.plans.catalog import query
@@ -182,3 +182,8 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM f W
 def op9_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_cascade.judge_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op10_set_join")
+def op10_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_join.similar_documents(table(spark, sf_dir, "documents"), width=4, percent=85)
