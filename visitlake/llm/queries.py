@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitlake.llm import chat, exact_dedup, grammar_files, language, mixing, packing, pseudonyms, set_join, url_cascade
+from visitlake.llm import chat, exact_dedup, grammar_files, language, mixing, packing, pseudonyms, set_join, url_cascade, vector_dedup
 from visitlake.llm.store import materialise, new_folder
 from visitlake.llm.tokens import vocabulary_path
 from visitlake.plans.catalog import query
@@ -156,6 +156,11 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", "accepted")
 
 
+@query("op7_small_world")
+def op7_small_world(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 @query("op8_packing")
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary_path())
