@@ -136,7 +136,7 @@ class WordCodec:
         entries = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
         self._learn()
         flat, ends = self._gather(entries)
-        bounds = np.concatenate([[0], ends])[np.cumsum(counts)]
+        bounds = np.concatenate([[0], ends])[np.cumsum(counts, dtype=np.int64)]
         if whole:
             pieces = np.split(flat, bounds[:-1])
             pieces = [whole.get(k, p) for k, p in enumerate(pieces)]
