@@ -51,6 +51,18 @@ class Similar:
         """How many of its first tokens a set shows: all but `need`, one more, and those for the extra matches."""
         return n - self.need(n) + self.extra(n)
 
+    def rest(self, n: Column) -> Column:
+        """Tokens that a set of n does not show."""
+        return n - self.prefix(n)
+
+    def may_link(self, n: Column, m: Column, shared: Column) -> Column:
+        """Whether sets of n and m tokens that share so many shown ones may be similar.
+
+        The set whose shown tokens end first shares no other of them, so the intersection is at most `shared` and its other tokens.
+        """
+        most = shared + F.greatest(self.rest(n), self.rest(m))
+        return (100 + self.percent) * most >= self.percent * (n + m)
+
     def extra(self, n: Column) -> Column:
         return F.lit(1) + F.floor(n / EXTRA_EVERY).cast("bigint")
 
@@ -161,8 +173,8 @@ def similar_documents(docs: DataFrame, width: int, percent: int, id_col: str = "
     group_sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     rows = filled.select("uid", F.posexplode("low").alias("pos", "token"))
     shared = rows.groupBy("token").agg(F.min("uid").alias("first"), F.max("uid").alias("last")).where("first <> last").select("token")
-    met = rows.join(shared, "token")
-    met = met.join(filled.select("uid", "sig"), "uid").join(placed.select("sig", "node", "n", "grp"), "sig").select("token", "pos", "node", "n", "grp").distinct()
+    # a node is the row it was first seen in, so rows of copies find no node
+    met = rows.join(shared, "token").withColumnRenamed("uid", "node").join(placed.select("node", "n", "grp"), "node")
     met = materialise(met, "met")
     spread = met.select("token", "grp").distinct().groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     flagged = met.join(spread.select("token", (F.col("c") > COMMON_GROUPS).alias("common")), "token")
@@ -180,13 +192,16 @@ def similar_documents(docs: DataFrame, width: int, percent: int, id_col: str = "
     matrix = shown.groupBy("token", F.col("grp").alias("other"), F.col("size").alias("other_size")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
     asks = shown.join(matrix, "token").where("grp <> other and (size < other_size or (size = other_size and grp < other))")
     asks = (asks.groupBy("node", "n", "other").agg(F.count(F.lit(1)).alias("c"), F.min("least").alias("least"), F.max("most").alias("most"))
-            .where((F.col("c") >= sim.least_matches(F.col("n"))) & (100 * F.col("most") >= percent * F.col("n")) & (percent * F.col("least") <= 100 * F.col("n"))))
+            .withColumns({"low": F.greatest("least", sim.need(F.col("n"))), "high": F.least("most", F.floor(100 * F.col("n") / percent).cast("bigint"))})
+            # between the smallest and the largest size that may link, one of these two asks for the fewest shared tokens (less 2, as sizes are rounded)
+            .where((F.col("c") >= sim.least_matches(F.col("n"))) & (F.col("low") <= F.col("high"))
+                   & (sim.may_link(F.col("n"), F.col("low"), F.col("c") + 2) | sim.may_link(F.col("n"), F.col("high"), F.col("c") + 2))))
     asks = materialise(asks.select("node", "other"), "asks")
     queries = shown.join(asks, "node").select("token", F.col("node").alias("a"), F.col("n").alias("na"), "other")
     opened = shown.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("grp").alias("other"))
     pairs = (queries.join(opened, ["token", "other"]).where(_sizes_fit("na", "nb", percent))
              .groupBy("a", "b", "other", "na", "nb").agg(F.count(F.lit(1)).alias("c"))
-             .where(F.col("c") >= F.least(sim.extra(F.col("na")), sim.extra(F.col("nb")))))
+             .where((F.col("c") >= F.least(sim.extra(F.col("na")), sim.extra(F.col("nb")))) & sim.may_link(F.col("na"), F.col("nb"), F.col("c"))))
     pairs = materialise(pairs.select("a", "b", "other", "c"), "pairs")
     known = sets.select("node")
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(known, "node", "left_anti")
