@@ -20,6 +20,19 @@ def test_five_failures_block_for_the_window():
     assert lock.attempt("a", 15 * MINUTE + 10_000_000, True)[0] == "accepted"
 
 
+def test_a_hundred_thousand_emails_leave_nothing_behind():
+    lock = Lockout(15 * MINUTE)
+    for i in range(100_000):
+        lock.attempt(f"e{i}", i * MINUTE, False)
+        assert len(lock.emails) <= 16 and len(lock.address) <= 20
+
+
+def test_an_address_that_is_never_idle(spark):
+    data = [("x", f"x{i % 40}", i * MINUTE, i, i % 3 > 0) for i in range(600)]
+    got = {r["attempt_id"]: (r["verdict"], r["wait_us"]) for r in login_lockout(spark.createDataFrame(data, TRIES), 15 * MINUTE).collect()}
+    assert got == expected(data)
+
+
 def test_address_limit_spans_emails_and_success_clears_only_its_email():
     lock = Lockout(15 * MINUTE)
     for i in range(20):
@@ -60,7 +73,7 @@ def test_stream_lockout_equals_a_loop_across_micro_batches(spark, tmp_path):
     for part in range(0, 200, 50):
         spark.createDataFrame(data[part:part + 50], TRIES).coalesce(1).write.mode("append").parquet(source)
     stream = jobs.table_stream(spark, TRIES, source, files_per_trigger=1)
-    jobs.run_to_end(jobs.lockout_stream(stream, 15 * MINUTE), str(tmp_path / "out"), str(tmp_path / "cp"))
+    jobs.run_to_end(jobs.lockout_stream(stream, 15 * MINUTE, expire=False), str(tmp_path / "out"), str(tmp_path / "cp"))
     got = {r["attempt_id"]: (r["verdict"], r["wait_us"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == expected(data)
 

@@ -27,7 +27,7 @@ def test_folds_hold_whole_groups_and_cover_everything(train):
 
 
 def test_a_fold_is_scored_by_a_model_that_never_saw_it(train):
-    recipe = training.Recipe("logistic_regression", COLUMNS)
+    recipe = training.Recipe("logistic_regression", COLUMNS, row_id=("appointment_id",))
     oof = training.out_of_fold(recipe, train, 2)
     a = {r["appointment_id"]: r["p"] for r in oof.where("fold = 0").collect()}
     flipped = train.withColumn("no_show", F.when(F.col("fold") == 0, 1 - F.col("no_show")).otherwise(F.col("no_show")))
@@ -54,6 +54,29 @@ def test_target_codes_leave_out_the_own_fold(spark, train):
     assert unseen["code"] == pytest.approx(sum(y for _, y in label.values()) / len(label))
 
 
+def test_a_row_never_sees_its_own_label(train):
+    """Flipping one label changes codes of other folds and leaves that row's own code as it was."""
+    identity = ["appointment_id"]
+    pick = train.orderBy("appointment_id").first()
+
+    def codes(df):
+        cells = encoding.category_cells(df, "neighbourhood", "no_show", identity)
+        return {r["appointment_id"]: r["code"] for r in encoding.cross_fit(df, "neighbourhood", cells, "code", identity).select("appointment_id", "code").collect()}
+
+    flipped = train.withColumn("no_show", F.when(F.col("appointment_id") == pick["appointment_id"], 1 - F.col("no_show")).otherwise(F.col("no_show")))
+    before, after = codes(train), codes(flipped)
+    assert before[pick["appointment_id"]] == after[pick["appointment_id"]] and before != after
+
+
+def test_codes_of_coin_flips_tell_nothing(spark):
+    rows = spark.range(4_000).selectExpr("id AS appointment_id", "concat('n', id % 20) AS neighbourhood", "CAST(pmod(xxhash64(id, 5), 2) AS INT) AS no_show")
+    cells = encoding.category_cells(rows, "neighbourhood", "no_show", ["appointment_id"])
+    auc = binary_metrics(encoding.cross_fit(rows, "neighbourhood", cells, "code", ["appointment_id"]), "no_show", "code").first()["auc_roc"]
+    assert 0.42 < auc < 0.56
+    with pytest.raises(ValueError):
+        training.fit(training.Recipe("logistic_regression", ("neighbourhood",)), rows)
+
+
 def test_under_sampling_balances_the_classes(train):
     out = training.under_sample(train, "no_show", ["appointment_id"])
     pos, neg = training.class_counts(out, "no_show")
@@ -72,9 +95,7 @@ def test_grids_variants_and_ties(spark):
     assert training.grid({"b": [1, 2], "a": [3, 4]}) == [{"a": 3, "b": 1}, {"a": 3, "b": 2}, {"a": 4, "b": 1}, {"a": 4, "b": 2}]
     names = training.ablation_variants(features.DATED_GROUPS)
     assert list(names)[:2] == ["all_features", "no_sms_received"] and len(names) == 12 and "sms_received" not in names["drop_flags"]
-    assert features.columns_for(features.DATED_GROUPS, ["flags", "history"])[0] == "prev_appointments"
-    with pytest.raises(KeyError):
-        features.columns_for(features.DATED_GROUPS, ["nope"])
+    assert features.DATED_COLUMNS[0] == "prev_appointments" and len(features.DATED_COLUMNS) == 15 and len(features.CODED_COLUMNS) == 11
     tied = spark.createDataFrame([(0, 0.5), (1, 0.7), (2, 0.7)], "rank int, v double")
     assert argmax(tied, [], "v", "rank").first()["rank"] == 1
     assert argmax(spark.createDataFrame([(0, 0.2), (1, 0.2)], "rank int, v double"), [], "v", "rank", lowest=True).first()["rank"] == 0

@@ -71,3 +71,28 @@ def test_percentiles_interpolate(spark, cut_groups):
 def test_percentiles_of_a_worked_case(spark):
     df = spark.createDataFrame([(float(v),) for v in (1, 2, 3, 4, 10)], "v double")
     assert exact_percentiles(df, "v", {"p95": 0.95}).first()["p95"] == pytest.approx(8.8)
+
+
+def test_every_large_key_is_cut_by_its_own_size(spark):
+    """Forty keys at disjoint stretches of the order, and one whose key is NULL: no piece is much larger than the limit."""
+    from visitlake.operators import running as R
+
+    data = [(None if k == 7 else f"k{k}", 1_000 * k + i, k * 90 + i, 1) for k in range(40) for i in range(90)]
+    df = spark.createDataFrame(data, "k string, t long, id long, v long")
+    pieces = []
+    original = R.stored
+
+    def watched(cut, name):
+        out = original(cut, name)
+        pieces.extend(r["count"] for r in out.groupBy("k", "__range").count().collect())
+        return out
+
+    spark.conf.set(R.HOT_ROWS_CONF, "30")
+    R.stored = watched
+    try:
+        got = {r["id"]: r["total"] for r in running(df, ["k"], ["t"], {"total": run_sum(F.col("v"))}).collect()}
+    finally:
+        R.stored = original
+        spark.conf.unset(R.HOT_ROWS_CONF)
+    assert got == {row[2]: row[2] % 90 + 1 for row in data}
+    assert len(pieces) > 80 and max(pieces) <= 45

@@ -59,13 +59,12 @@ def test_consultations(spark, tmp_path):
         "drop_missing_or_nonpositive_service_time": 2, "drop_service_time_above_limit": 1, "drop_exact_duplicates": 0}
 
 
-def test_fingerprints_and_ordered_columns(spark, tmp_path):
+def test_fingerprints_and_tables(spark, tmp_path):
     path = tmp_path / "x.txt"
     path.write_bytes(b"abc")
     got = readers.fingerprints(spark, str(path)).first()
     assert got["sha256"] == hashlib.sha256(b"abc").hexdigest() and got["bytes"] == 3
     df = spark.createDataFrame([(1, 2, 3.0, 4)], "z int, n int, auc_roc double, model int")
-    assert sinks.ordered(df, ["model"]).columns == ["model", "n", "auc_roc", "z"]
     sinks.write_table(df, str(tmp_path / "out"), "csv")
     described = readers.describe_files(spark.read.schema("z int, n int, auc_roc double, model int").option("header", True).csv(str(tmp_path / "out")))
     assert described.first()["rows"] == 1 and described.first()["columns"] == 4

@@ -118,14 +118,6 @@ def t_975(df: Column) -> Column:
     return F.when(df < 1, F.lit(None).cast("double")).when(df <= len(T_975), F.try_element_at(table, df.cast("int"))).otherwise(series)
 
 
-def sigmoid(z: Column) -> Column:
-    return F.when(z >= 0, 1 / (1 + F.exp(-z))).otherwise(F.exp(z) / (1 + F.exp(z)))
-
-
-def log_sigmoid(z: Column) -> Column:
-    return -(F.greatest(-z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z))))
-
-
 def ceil_to(value: Column, step: float) -> Column:
     return (F.ceil(value / step) * step).cast("int")
 

@@ -143,6 +143,9 @@ def long_cells(results: DataFrame, source: str, key: str, columns: Sequence[str]
             .unpivot("row_key", list(columns), "column_name", "value").withColumn("source", F.lit(source)))
 
 
+MAX_DECIMALS = 15  # more than a double has
+
+
 def reconcile_numbers(audit: DataFrame, cells: DataFrame) -> DataFrame:
     """Each quoted number against the result cells: problem is missing, ambiguous, changed or NULL when it holds.
 
@@ -150,8 +153,8 @@ def reconcile_numbers(audit: DataFrame, cells: DataFrame) -> DataFrame:
     """
     per_cell = cells.groupBy("source", "row_key", "column_name").agg(F.count(F.lit(1)).alias("n_cells"), F.min("value").alias("value"))
     joined = audit.join(per_cell, ["source", "row_key", "column_name"], "left")
-    current = F.format_string("%.3f", F.col("value"))
-    for decimals in (0, 1, 2, 4):
+    current = F.raise_error(F.format_string("decimals must be 0 to %d, not %d", F.lit(MAX_DECIMALS), F.col("decimals"))).cast("string")
+    for decimals in range(MAX_DECIMALS + 1):
         current = F.when(F.col("decimals") == decimals, F.format_string(f"%.{decimals}f", F.col("value"))).otherwise(current)
     problem = (F.when(F.col("n_cells").isNull(), "missing").when(F.col("n_cells") > 1, "ambiguous")
                .when(~current.eqNullSafe(F.col("quoted")), "changed"))

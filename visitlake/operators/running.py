@@ -1,10 +1,10 @@
 """Running totals, positions and order statistics that survive one huge group.
 
 A plain window sorts each key in one task. That is right while every key is small, and it stops working when one key
-holds a third of the rows. `running` measures first: one counting job with partial aggregation returns the largest keys
-(at most HOT_KEYS rows reach the driver, and a key outside that list holds at most 1/HOT_KEYS of the rows). With no large key the
-plan is the plain window. Otherwise the large keys, and only those, are cut into ordered ranges; each range is a window of
-its own and starts from the totals of the ranges before it. No row is dropped and no pair of rows is ever built.
+holds a third of the rows. `running` measures first, by one counting job with partial aggregation. With no large key the plan
+is the plain window. Otherwise the rows of all large keys are range-partitioned on (keys, order): Spark samples its bounds from those
+very rows, so a key gets as many ranges as its size asks for, wherever its values lie, and any number of keys can be large. Each
+range is a window of its own and starts from the totals of the ranges before it. No row is dropped and no pair of rows is ever built.
 """
 from __future__ import annotations
 
@@ -14,10 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_KEYS = 4096        # a key beyond the HOT_KEYS largest holds at most 1/4096 of all rows
-MAX_RANGES = 512       # ordered ranges per large key; fewer when the largest key needs fewer
-SAMPLE_PER_RANGE = 16  # rows looked at to place each cut (never the rows that are computed on)
-BROADCAST_ROWS = 200_000
+from ..session import stored
+
 HOT_ROWS_CONF = "spark.visitlake.hotGroupRows"
 DEFAULT_HOT_ROWS = 2_000_000
 
@@ -57,70 +55,41 @@ def hot_rows(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get(HOT_ROWS_CONF, str(DEFAULT_HOT_ROWS)))
 
 
-def large_keys(df: DataFrame, keys: Sequence[str], limit_rows: int) -> list:
-    """The keys with more than `limit_rows` rows, at most HOT_KEYS of them, found by a partial aggregation."""
+def large_keys(df: DataFrame, keys: Sequence[str], limit_rows: int) -> DataFrame:
+    """The keys with more than `limit_rows` rows and their n_rows; at most a `limit_rows`-th as many as there are rows."""
     counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
-    # the largest first, so the limit can only leave out keys that are smaller than all those returned
-    return counted.where(F.col("n_rows") > limit_rows).orderBy(F.desc("n_rows")).limit(HOT_KEYS).collect()
-
-
-def _ranges_column(splits: list[tuple], order: list[Column]) -> Column:
-    """How many split points are <= the row, as a balanced tree of comparisons (stays inside generated code)."""
-    point = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
-
-    def tree(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        cut = F.struct(*[F.lit(v).alias(f"o{i}") for i, v in enumerate(splits[middle])])
-        return F.when(point >= cut, tree(middle + 1, high)).otherwise(tree(low, middle))
-
-    return tree(0, len(splits))
+    return counted.where(F.col("n_rows") > limit_rows)
 
 
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], runs: Mapping[str, Run]) -> DataFrame:
     """Add running values per `keys` in the ascending order of the `order` columns.
 
-    `order` must be numeric or string columns and should be unique within a key (aggregate ties first, or end with an id):
-    then a large key always splits evenly. For a descending order pass the negated column.
+    `order` should be unique within a key (aggregate ties first, or end with an id): then a large key always splits evenly. For a
+    descending order pass the negated column. NULL is a key like any other.
     """
     keys, order = list(keys), list(order)
     limit_rows = hot_rows(df)
     large = large_keys(df, keys, limit_rows)
+    hot_total = large.agg(F.sum("n_rows")).first()[0]
     inner = Window.partitionBy(*keys).orderBy(*order)
-    if not large:
+    if not hot_total:
         return df.select("*", *[_local(run, inner).alias(name) for name, run in runs.items()])
 
-    spark = df.sparkSession
-    if keys:
-        hot = spark.createDataFrame([tuple(r[k] for k in keys) for r in large], df.select(*keys).schema)
-        hot = F.broadcast(hot.withColumn("__hot", F.lit(True)))  # at most HOT_KEYS rows
-        marked = _null_safe_left(df, hot, keys)
-    else:
-        marked = df.withColumn("__hot", F.lit(True))
-    typed = [F.col(c) for c in order]
-    ranges = min(MAX_RANGES, max(2, -(-2 * large[0]["n_rows"] // limit_rows)))
-
-    # split points: the rows with the smallest hashes, so a recomputed task finds the same ones
-    sample = (marked.where(F.col("__hot")).select(*keys, *order).withColumn("__h", F.xxhash64(*keys, *order))
-              .orderBy("__h", *order).limit(SAMPLE_PER_RANGE * ranges).select(*order).distinct().orderBy(*order).collect())
-    step = max(1, len(sample) // ranges)
-    splits = [tuple(row) for row in sample[step::step]][:ranges - 1]
-    marked = marked.withColumn("__range", F.when(F.col("__hot"), _ranges_column(splits, typed)).otherwise(F.lit(0)))
-
-    # totals of each range of each large key: at most len(large) * ranges rows, sent to all tasks only while that is small
-    totals = (marked.where(F.col("__hot")).groupBy(*keys, "__range")
-              .agg(*[_AGG[r.kind](r.column).alias(f"__t_{n}") for n, r in runs.items()]))
+    marked = _null_safe_left(df, large.select(*keys, F.lit(True).alias("__hot")), keys) if keys else df.withColumn("__hot", F.lit(True))
+    # the bounds are drawn once: what follows reads the ranges from a written table, also when a task is repeated
+    ranges = -(-2 * hot_total // limit_rows)
+    cut = stored(marked.where("__hot").drop("__hot").repartitionByRange(ranges, *keys, *order).withColumn("__range", F.spark_partition_id()), "ranges")
+    totals = cut.groupBy(*keys, "__range").agg(*[_AGG[r.kind](r.column).alias(f"__t_{n}") for n, r in runs.items()])
     earlier = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "__range", *[
-        _AGG[r.kind](f"__t_{n}").over(earlier).alias(f"__off_{n}") for n, r in runs.items()])
-    if len(large) * ranges <= BROADCAST_ROWS:
-        offsets = F.broadcast(offsets)
-    joined = _null_safe_left(marked, offsets, keys + ["__range"])
+    offsets = totals.select(*keys, "__range", *[_AGG[r.kind](f"__t_{n}").over(earlier).alias(f"__off_{n}") for n, r in runs.items()])
+    joined = _null_safe_left(cut, offsets, [*keys, "__range"])
     local = Window.partitionBy(*keys, "__range").orderBy(*order)
-    return joined.select(
-        *[F.col(c) for c in df.columns],
-        *[_combine(r.kind, F.col(f"__off_{n}"), _local(r, local)).alias(n) for n, r in runs.items()])
+    columns = [F.col(c) for c in df.columns]
+    hot = joined.select(*columns, *[_combine(r.kind, F.col(f"__off_{n}"), _local(r, local)).alias(n) for n, r in runs.items()])
+    if not keys:
+        return hot
+    cold = marked.where(F.col("__hot").isNull()).select(*columns, *[_local(run, inner).alias(name) for name, run in runs.items()])
+    return hot.unionByName(cold)
 
 
 def _local(run: Run, window) -> Column:
@@ -161,7 +130,7 @@ def rank_neighbours(df: DataFrame, value: str, fractions: Mapping[str, float], b
     ranked = running(counts, by, [value], {"__upto": run_sum(F.col("__n"))})
     sizes = counts.groupBy(*by).agg(F.sum("__n").alias("__size"))
     # without a key the right side is a single row; with keys AQE picks the side to send
-    sized = ranked.crossJoin(F.broadcast(sizes)) if not by else ranked.join(sizes, by)
+    sized = ranked.crossJoin(F.broadcast(sizes)) if not by else _null_safe_left(ranked, sizes, by)
     size, picks = F.col("__size"), []
     for name, q in fractions.items():
         rank = F.lit(float(q)) * (size - 1)

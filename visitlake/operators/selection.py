@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from .running import between_ranks, positions, rank_neighbours
+from .running import _null_safe_left, between_ranks, positions, rank_neighbours
 
 # fixed values: the policy grids
 EVERY_K = (2, 3, 4, 6)
@@ -42,7 +42,7 @@ def evenly_spaced(df: DataFrame, keys: Sequence[str], order: Sequence[str], m: C
 
     Each row decides for itself whether some j points at it, so nothing is exploded or joined per j.
     """
-    numbered = positions(df, keys, order).join(group_sizes(df, keys), list(keys))
+    numbered = _null_safe_left(positions(df, keys, order), group_sizes(df, keys), list(keys))
     n, at, count = F.col("n_group").cast("double"), F.col("position") - 1, m.cast("double")
     guess = F.ceil(F.try_divide(at * count, n) - 0.5)
 

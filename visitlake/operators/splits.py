@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from .running import positions
+from .running import _null_safe_left, positions
 
 
 def holdout_cut(df: DataFrame, date: str, fraction: float = 0.2) -> DataFrame:
@@ -32,19 +32,14 @@ def holdout_last_month(df: DataFrame, month: str) -> DataFrame:
 
 
 def grouped_folds(df: DataFrame, group: str, k: int = 5, seed: int = 42, name: str = "fold") -> DataFrame:
-    """Add a fold per whole group: groups in a seeded shuffled order, dealt out in turn, so fold sizes differ by at most 1 group.
+    """Add a fold per whole group: groups in a seeded shuffled order, dealt out in turn, so fold sizes differ by at most 1 group. NULL is a group.
 
     Only the distinct ids are ranked (in ordered ranges when there are many), then the fold joins back on the id.
     """
     ids = df.select(group).distinct()
     shuffled = ids.withColumn("__h", C.mix(seed, F.col(group) % 2147483647))
     dealt = positions(shuffled, [], ["__h", group], "__r").select(group, ((F.col("__r") - 1) % k).cast("int").alias(name))
-    return df.join(dealt, group)
-
-
-def hashed_folds(df: DataFrame, group: str, k: int = 5, seed: int = 42, name: str = "fold") -> DataFrame:
-    """The same guarantee without any shuffle: the fold is a function of the group id; sizes are equal only on average."""
-    return df.withColumn(name, (C.mix(seed, F.col(group) % 2147483647) % k).cast("int"))
+    return _null_safe_left(df, dealt, [group])
 
 
 def stratified_folds(df: DataFrame, label: str, row_id: Sequence[str], k: int = 5, seed: int = 42, name: str = "fold") -> DataFrame:
@@ -68,7 +63,7 @@ def fold_audit(df: DataFrame, fold: str, group: str) -> DataFrame:
     """Per fold: groups inside it and groups on both sides of it (must be 0)."""
     pairs = df.select(fold, group).distinct()
     spread = pairs.groupBy(group).agg(F.count(F.lit(1)).alias("__folds"))
-    return (pairs.join(spread, group).groupBy(fold)
+    return (_null_safe_left(pairs, spread, [group]).groupBy(fold)
             .agg(F.count(F.lit(1)).alias("n_groups"), F.count_if(F.col("__folds") > 1).alias("n_both_sides")))
 
 

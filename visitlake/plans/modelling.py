@@ -1,24 +1,25 @@
-"""Registered model jobs over the visit and booking tables (rows only: a fitted model has no SQL text)."""
+"""Registered model jobs over the visit and booking tables. A fitted model has no SQL text; its target codes do."""
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..models import training
+from ..models import encoding, training
 from ..operators import features, history, risk, splits
 from . import views as V
 from .catalog import query
+from .oracle import big, mix, num, with_views
 
-COLUMNS = tuple(features.columns_for(features.DATED_GROUPS))
-LR = training.Recipe("logistic_regression", COLUMNS)
-SIX = training.Recipe("logistic_regression", risk.FEATURES)
-GROUPS = {g: c for g, c in features.DATED_GROUPS.items() if g in ("history", "lead_calendar", "demographics")}
+COLUMNS = features.DATED_COLUMNS
+VISIT = ("appointment_id",)
+LR = training.Recipe("logistic_regression", COLUMNS, row_id=VISIT)
+SIX = training.Recipe("logistic_regression", risk.FEATURES, row_id=VISIT)
 K = 5
 
 
 def prepared(spark, sf):
     """(train with folds, holdout): clean visits with history, cut by date, whole patients per fold."""
     v = splits.holdout_by_date(history.history_asof(V.visits(spark, sf)))
-    rows = features.dated_features(v, keep=["patient_id", "part", "no_show"])
+    rows = features.dated_features(v, keep=["appointment_id", "patient_id", "part", "no_show"])
     train = splits.grouped_folds(rows.where(F.col("part") == "train"), "patient_id", K).persist()
     return train, rows.where(F.col("part") == "holdout").persist()
 
@@ -30,6 +31,24 @@ def booked(spark, sf):
     return known.withColumns({"no_show": (F.col("status") == "no_show").cast("int"), "lead_same_day": (F.col("lead_days") == 0).cast("int")})
 
 
+@query("target_codes", with_views(["visits"], f"""
+WITH r AS (SELECT appointment_id, neighbourhood AS c, no_show AS y, {mix(7, 'appointment_id % 2147483647')} % 5 AS f FROM visits),
+cells AS (SELECT c, f, count(*)::DOUBLE AS n, sum(y)::DOUBLE AS y FROM r GROUP BY 1, 2),
+folds AS (SELECT f, sum(n) AS n, sum(y) AS y FROM cells GROUP BY 1),
+rest AS (SELECT f, ((SELECT sum(y) FROM cells) - y) / ((SELECT sum(n) FROM cells) - n) AS overall FROM folds),
+other AS (SELECT c, f, sum(n) OVER w - n AS n, sum(y) OVER w - y AS y FROM cells WINDOW w AS (PARTITION BY c)),
+own AS (SELECT o.c, o.f, o.n, CASE WHEN o.n > 0 THEN o.y / o.n END AS mean, overall FROM other o JOIN rest USING (f)),
+trusted AS (SELECT *, overall * (1 - overall) * n / nullif(overall * (1 - overall) * n + mean * (1 - mean), 0) AS trust FROM own),
+codes AS (SELECT c, f, coalesce(trust * mean + (1 - trust) * overall, overall) AS code FROM trusted)
+SELECT r.c AS neighbourhood, {big('r.f', 'fold')}, {big('count(*)', 'n')}, {num('min(code)', 'code')} FROM r JOIN codes USING (c, f) GROUP BY r.c, r.f"""))
+def target_codes(spark, sf):
+    """The cross-fitted code of every neighbourhood and fold: what training rows see of their neighbourhood."""
+    v = V.visits(spark, sf).select("appointment_id", "neighbourhood", "no_show")
+    cells = encoding.category_cells(v, "neighbourhood", "no_show", VISIT)
+    coded = encoding.cross_fit(v, "neighbourhood", cells, "code", VISIT).withColumn("fold", encoding.inner_fold(VISIT).cast("long"))
+    return coded.groupBy("neighbourhood", "fold").agg(F.count(F.lit(1)).alias("n"), F.min("code").alias("code"))
+
+
 @query("oof_scores")
 def oof_scores(spark, sf):
     train, _ = prepared(spark, sf)
@@ -47,8 +66,8 @@ def model_holdout(spark, sf):
     """Three models fitted on the training part and scored once on the holdout (small trees settings; the grids are in the library)."""
     train, holdout = prepared(spark, sf)
     recipes = {"logistic_regression": LR,
-               "random_forest": training.Recipe("random_forest", COLUMNS, {"n_estimators": 20, "max_depth": 6}),
-               "gradient_boosting": training.Recipe("gradient_boosting", COLUMNS, {"max_iter": 10, "max_leaf_nodes": 15})}
+               "random_forest": training.Recipe("random_forest", COLUMNS, {"n_estimators": 20, "max_depth": 6}, row_id=VISIT),
+               "gradient_boosting": training.Recipe("gradient_boosting", COLUMNS, {"max_iter": 10, "max_leaf_nodes": 15}, row_id=VISIT)}
     scored = holdout
     for name, recipe in recipes.items():
         scored = training.fit(recipe, train).score(scored, name)
@@ -73,7 +92,7 @@ def calibration_methods(spark, sf):
 @query("ablation")
 def ablation(spark, sf):
     train, _ = prepared(spark, sf)
-    return training.ablation(SIX, train, K, training.ablation_variants(GROUPS))
+    return training.ablation(SIX, train, K, training.ablation_variants(features.DATED_GROUPS))
 
 
 @query("imbalance")

@@ -164,6 +164,7 @@ WITH {POLICY_SQL}, r AS (SELECT costs, policy, served - w * served * coalesce(me
 def policy_reward(spark, sf):
     from ..operators.profile import mean_ci
 
-    m = policy_frames(spark, sf)
-    rows = F.array(*[F.struct(F.lit(name).alias("costs"), queue.reward(c).alias("reward")) for name, c in queue.COSTS.items()])
-    return mean_ci(m.select("policy", F.inline(rows)), ["costs", "policy"], "reward")
+    prices = spark.sql(f"SELECT * FROM {COSTS_SQL}")  # three rows
+    priced = policy_frames(spark, sf).crossJoin(F.broadcast(prices))
+    net = F.expr("served - (w * served * coalesce(mean_wait, 0) + o * overtime) / 60")
+    return mean_ci(priced.withColumn("reward", net), ["costs", "policy"], "reward")

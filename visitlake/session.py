@@ -2,8 +2,12 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
 def build_session(app_name: str = "visitlake", master: str | None = None, **conf: str) -> SparkSession:
@@ -33,3 +37,18 @@ def build_session(app_name: str = "visitlake", master: str | None = None, **conf
     session.sparkContext.setLogLevel("ERROR")
     return session
 
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """`df` written once to the shared folder that spark.checkpoint.dir names, and read back: lineage ends there.
+
+    Only where that is unset, as on one machine, a local folder is taken.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF, None)
+    if not folder:
+        folder = "file://" + tempfile.mkdtemp(prefix="visitlake-")
+        spark.conf.set(CHECKPOINT_CONF, folder)
+    path = f"{folder.rstrip('/')}/visitlake-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

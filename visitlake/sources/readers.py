@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schemas import HANGU_NAMES, HANGU_RAW, KAGGLE_NAMES, KAGGLE_RAW, OPERATIONAL
+from ..schemas import HANGU_NAMES, HANGU_RAW, KAGGLE_NAMES, KAGGLE_RAW
 
 
 def must_be(value: Column, message: str) -> Column:
@@ -17,12 +17,17 @@ def written_clock(text: Column) -> Column:
     return F.to_timestamp_ntz(F.regexp_replace(text, "Z$", ""))
 
 
+def _checked_csv(spark: SparkSession, schema: str, path: str) -> DataFrame:
+    """CSV by a declared schema; a file whose header has other names or another order fails the job, and so does a cell of a wrong type."""
+    return spark.read.schema(schema).options(header=True, enforceSchema=False, mode="FAILFAST").csv(path)
+
+
 def read_visits_csv(spark: SparkSession, path: str) -> DataFrame:
     """Appointment CSV with source names replaced. no_show is 1 for "Yes" and 0 for "No"; any other label fails the job.
 
     The patient id is read as text and then as a number, so cleaning can tell fractional ids from whole ones.
     """
-    raw = spark.read.schema(KAGGLE_RAW).option("header", True).csv(path)
+    raw = _checked_csv(spark, KAGGLE_RAW, path)
     label = F.when(F.col("`No-show`") == "Yes", 1).when(F.col("`No-show`") == "No", 0)
     return (raw.withColumn("no_show", must_be(label, "No-show must be Yes or No")).drop("No-show")
             .withColumnsRenamed(KAGGLE_NAMES)
@@ -31,11 +36,14 @@ def read_visits_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def arff_columns(spark: SparkSession, path: str) -> list[str]:
-    """Attribute names in file order: a handful of header lines, numbered by their place in the file."""
+    """Attribute names in file order. Headers are compared on the executors; files with different ones are refused."""
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("n"), F.trim("value").alias("line"))
-    header = lines.where(F.lower("line").startswith("@attribute")).orderBy("file", "n").collect()
-    first = header[0]["file"] if header else None
-    return [row["line"].split(None, 2)[1].strip("'\"") for row in header if row["file"] == first]
+    attributes = lines.where(F.lower("line").startswith("@attribute"))
+    per_file = attributes.groupBy("file").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]).alias("header"))
+    headers = per_file.select("header").distinct().limit(2).collect()
+    if len(headers) != 1:
+        raise ValueError("ARFF files have different headers" if headers else "no ARFF header found")
+    return [line.split(None, 2)[1].strip("'\"") for line in headers[0]["header"]]
 
 
 def read_visits_arff(spark: SparkSession, path: str) -> DataFrame:
@@ -50,15 +58,10 @@ def read_visits_arff(spark: SparkSession, path: str) -> DataFrame:
 
 def read_consultations_csv(spark: SparkSession, path: str) -> DataFrame:
     """Consultation CSV; a service time that is not a number is missing."""
-    raw = spark.read.schema(HANGU_RAW).option("header", True).csv(path)
+    raw = _checked_csv(spark, HANGU_RAW, path)
     return raw.withColumnsRenamed(HANGU_NAMES).withColumn("service_seconds", F.trim("service_seconds").try_cast("double"))
 
 
-def read_operational(spark: SparkSession, name: str, path: str) -> DataFrame:
-    """An operational table from Parquet, with its declared columns only."""
-    return spark.read.schema(OPERATIONAL[name]).parquet(path)
-
-
 def read_jdbc(spark: SparkSession, url: str, table: str, column: str | None = None, bounds: tuple[int, int] | None = None,
               partitions: int = 1, **options: str) -> DataFrame:
     """A database table. With a numeric `column` and `bounds`, partitions are read in parallel; filters and columns push down."""

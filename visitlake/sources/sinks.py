@@ -1,35 +1,9 @@
-"""Result tables with a fixed column order."""
+"""Result tables."""
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from ..operators.metrics import METRICS
-
-COUNTS = ("n", "n_positive", "n_boot")
-
-
-def metric_columns() -> list[str]:
-    """Each metric followed by the ends of its interval."""
-    return [c for m in METRICS for c in (m, f"{m}_lo", f"{m}_hi")]
-
-
-def ordered(df: DataFrame, leading: Sequence[str]) -> DataFrame:
-    """The leading columns, then counts, then metrics with intervals, then everything else in its own order."""
-    head = [c for c in [*leading, *COUNTS, *metric_columns()] if c in df.columns]
-    return df.select(*head, *[c for c in df.columns if c not in head])
-
-
-def wide_intervals(long: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """(keys, metric, value, lo, hi) as one row per key with the columns metric, metric_lo, metric_hi."""
-    aggs = []
-    for m in METRICS:
-        for suffix, column in (("", "value"), ("_lo", "lo"), ("_hi", "hi")):
-            aggs.append(F.max(F.when(F.col("metric") == m, F.col(column))).alias(m + suffix))
-    return long.groupBy(*keys).agg(*aggs)
-
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = (), mode: str = "overwrite") -> None:
     """Write as many files as the plan has partitions; Spark commits the folder as a whole."""
@@ -39,8 +13,3 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Se
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.save(path)
-
-
-def write_slots(df: DataFrame, path: str) -> None:
-    """Slots laid out by day and sorted by doctor, so day and doctor filters skip files and row groups."""
-    df.repartition("slot_date").sortWithinPartitions("slot_date", "doctor_id").write.mode("overwrite").partitionBy("slot_date").parquet(path)

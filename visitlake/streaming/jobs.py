@@ -2,7 +2,6 @@
 from __future__ import annotations
 
 import json
-from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -39,27 +38,37 @@ LOCKOUT_OUT = "address string, email string, at_us long, attempt_id long, verdic
 LOCKOUT_STATE = "failures string"
 
 
-def lockout_stream(attempts: DataFrame, window_us: int, pair_limit: int = PAIR_LIMIT, address_limit: int = ADDRESS_LIMIT) -> DataFrame:
+def lockout_stream(attempts: DataFrame, window_us: int, pair_limit: int = PAIR_LIMIT, address_limit: int = ADDRESS_LIMIT,
+                   expire: bool = True) -> DataFrame:
     """The verdict of each try, with state kept per address between micro-batches.
 
     attempts(address string, email string, at_us long, attempt_id long, ok boolean). The state holds failure times inside the window
     and never more than the limits allow, since refused tries are not recorded. Tries of a micro-batch are put in time order first.
+    An address without failures has no state, and one that has been silent for a window of processing time loses it. `expire` turns
+    that clock off for runs that drain what is there and stop: waiting for it would keep them open.
     """
 
     def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         lock = Lockout(window_us, pair_limit, address_limit)
         if state.exists:
-            saved = json.loads(state.get[0])
-            lock.whole = deque(saved["whole"])
-            lock.pairs = {email: deque(times) for email, times in saved["pairs"].items()}
+            lock.restore(json.loads(state.get[0]))
         rows = pd.concat(list(chunks)).sort_values(["at_us", "attempt_id"])  # one address in one micro-batch
         verdicts = [lock.attempt(e, int(t), bool(ok)) for e, t, ok in zip(rows["email"], rows["at_us"], rows["ok"])]
-        lock.prune(int(rows["at_us"].iloc[-1]))
-        state.update((json.dumps({"whole": list(lock.whole), "pairs": {e: list(t) for e, t in lock.pairs.items()}}),))
+        lock.forget_old(int(rows["at_us"].iloc[-1]))
+        if lock.address or lock.emails:
+            state.update((json.dumps(lock.dump()),))
+            if expire:
+                state.setTimeoutDuration(max(1, window_us // 1000))
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame({"address": key[0], "email": rows["email"], "at_us": rows["at_us"], "attempt_id": rows["attempt_id"],
                             "verdict": [v for v, _ in verdicts], "wait_us": [w for _, w in verdicts]})
 
-    return attempts.groupBy("address").applyInPandasWithState(step, LOCKOUT_OUT, LOCKOUT_STATE, "append", GroupStateTimeout.NoTimeout)
+    clock = GroupStateTimeout.ProcessingTimeTimeout if expire else GroupStateTimeout.NoTimeout
+    return attempts.groupBy("address").applyInPandasWithState(step, LOCKOUT_OUT, LOCKOUT_STATE, "append", clock)
 
 
 # ---- standby notices -------------------------------------------------------------------------------------------
