@@ -44,6 +44,11 @@ def metrics_of_counts(counts: DataFrame, by: Sequence[str], targets: Sequence[fl
         F.sum(tp * (fp / 2 - F.col("cfp"))).alias("__auc"), F.sum(tp * precision).alias("__ap"),
         F.sum(tp * F.pow(1 - F.col("s"), 2) + fp * F.pow(F.col("s"), 2)).alias("__brier"),
         *[F.max(F.when(precision >= t - 1e-12, F.col("ctp"))).alias(f"__r{i}") for i, t in enumerate(targets)])
+    return metrics_of_sums(sums, by, targets)
+
+
+def metrics_of_sums(sums: DataFrame, by: Sequence[str], targets: Sequence[float] = PRECISION_TARGETS) -> DataFrame:
+    """The metrics from n, n_positive, __auc, __ap, __brier and __r0, __r1, ... per `by`."""
     pos = F.col("n_positive").cast("double")
     neg = F.col("n") - pos
     both = (pos > 0) & (neg > 0)

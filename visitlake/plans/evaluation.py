@@ -175,7 +175,7 @@ def mean_vs_prevalence(spark, sf):
 
 
 # ---- bootstrap ------------------------------------------------------------------------------------------------------
-N_BOOT = 20
+N_BOOT = 1000
 DRAWS_SQL = f"""grp AS (SELECT patient_id, row_number() OVER (ORDER BY patient_id) - 1 AS i FROM (SELECT DISTINCT patient_id FROM scored)),
 draws AS (SELECT rep, {mix(42, 'rep', 'i')} % (SELECT count(*) FROM grp) AS i FROM grp, range(1, {N_BOOT + 1}) t(rep)),
 wts AS (SELECT rep, patient_id, count(*) AS w FROM draws JOIN grp USING (i) GROUP BY 1, 2),

@@ -13,7 +13,7 @@ COLUMNS = features.DATED_COLUMNS
 VISIT = ("appointment_id",)
 LR = training.Recipe("logistic_regression", COLUMNS, row_id=VISIT)
 SIX = training.Recipe("logistic_regression", risk.FEATURES, row_id=VISIT)
-K = 5
+K, N_BOOT = 5, 1000
 
 
 def prepared(spark, sf):
@@ -80,7 +80,7 @@ def model_ladder(spark, sf):
     """The earlier-rate rule against logistic regression, paired by patient."""
     train, holdout = prepared(spark, sf)
     scored = training.fit(LR, train).score(holdout, "logistic_regression").withColumn("earlier_rate_rule", F.coalesce("prev_no_show_rate", F.lit(0.0)))
-    return training.ladder(scored, "no_show", "patient_id", ["earlier_rate_rule", "logistic_regression"], 20)
+    return training.ladder(scored, "no_show", "patient_id", ["earlier_rate_rule", "logistic_regression"], N_BOOT)
 
 
 @query("calibration_methods")
@@ -110,7 +110,7 @@ def transfer(spark, sf):
     recipe = training.Recipe("logistic_regression", features.COMMON)
     within = training.fit(recipe, parts.where(F.col("fold") == 0))
     other = training.fit(recipe, train)
-    return training.transfer(other, within, parts.where(F.col("fold") == 1), "no_show", "patient_id", 20)
+    return training.transfer(other, within, parts.where(F.col("fold") == 1), "no_show", "patient_id", N_BOOT)
 
 
 @query("bulk_score")
