@@ -24,8 +24,8 @@ from visitlake.llm.store import materialise
 
 #: bands of two minimum hashes each that bring similar documents together to form the groups; they decide nothing
 BANDS = 6
-#: share of the hash range whose tokens come first in the order
-LOW = 0.22
+#: the tokens that come first in the order are a share of the hash range: what a set shows of its tokens at least, and this much more
+MORE_LOW = 0.07
 #: a token of more groups than this is common and goes last
 COMMON_GROUPS = 64
 #: one more shared token is asked for every so many tokens of a set
@@ -34,7 +34,6 @@ EXTRA_EVERY = 50
 SMALL_ROWS = 1_000_000
 BATCH_TEXTS = 400
 _SEEDS = np.random.default_rng(7).integers(1, 1 << 63, 2 * BANDS, dtype=np.uint64) | np.uint64(1)
-_LOW_LIMIT = np.uint64(int(LOW * 2.0 ** 64))
 
 
 @dataclass(frozen=True)
@@ -43,6 +42,11 @@ class Similar:
     width: int
     percent: int
 
+    @property
+    def low_limit(self) -> int:
+        """Tokens below it come first in the order."""
+        return int((1 - self.percent / 100 + MORE_LOW) * 2.0 ** 64)
+
     def need(self, n: Column) -> Column:
         """Tokens of a set of n that a similar set has at least."""
         return F.ceil(n * self.percent / 100).cast("bigint")
@@ -79,20 +83,22 @@ def _slices(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.
             yield part, shingle_sets(part.column(part.num_columns - 1).to_pylist(), width)
 
 
-def profiles(docs: DataFrame, width: int) -> DataFrame:
+def profiles(docs: DataFrame, sim: Similar) -> DataFrame:
     """doc_id, n, sig (128-bit hash of the set), bands and sorted low tokens of every row of doc_id and text."""
     schema = T.StructType([docs.schema["doc_id"], T.StructField("n", T.LongType()), T.StructField("sig", T.BinaryType()),
                            T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("low", T.ArrayType(T.LongType()))])
 
+    limit = np.uint64(sim.low_limit)
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, sets in _slices(batches, width):
+        for part, sets in _slices(batches, sim.width):
             bands = np.zeros((len(sets), BANDS), np.int64)
             for i, s in enumerate(sets):
                 if len(s):
                     least = np.array([mix(s * seed).min() for seed in _SEEDS])
                     bands[i] = mix(least[::2] * np.uint64(3) + least[1::2]).view(np.int64)
             band_lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS), pa.int32()), pa.array(bands.ravel()))
-            low = [s[:np.searchsorted(s, _LOW_LIMIT)] for s in sets]
+            low = [s[:np.searchsorted(s, limit)] for s in sets]
             ends = np.cumsum([0] + [len(x) for x in low])
             low_lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(low).view(np.int64)))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.binary()),
@@ -154,7 +160,7 @@ def similar_documents(docs: DataFrame, width: int, percent: int, id_col: str = "
     """
     sim = Similar(width, percent)
     texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    profile = materialise(profiles(texts, width).withColumn("uid", F.monotonically_increasing_id()), "profile")
+    profile = materialise(profiles(texts, sim).withColumn("uid", F.monotonically_increasing_id()), "profile")
     # 1: nodes
     filled = profile.where("n > 0")
     nodes = materialise(filled.groupBy("sig").agg(F.min("uid").alias("node"), F.min("doc_id").alias("label"), F.first("n").alias("n"),
@@ -237,9 +243,11 @@ def _later_tokens(texts: DataFrame, nodes: DataFrame, room: DataFrame, flagged:
     """
     whole = _sets_of(texts, nodes, room.select("node"), sim)
 
+    limit = np.uint64(sim.low_limit)
+
     @F.pandas_udf("array<long>")
     def numbers(raw: pd.Series) -> pd.Series:
-        return pd.Series([np.frombuffer(x, np.int64)[np.searchsorted(np.frombuffer(x, np.uint64), _LOW_LIMIT):] for x in raw])
+        return pd.Series([np.frombuffer(x, np.int64)[np.searchsorted(np.frombuffer(x, np.uint64), limit):] for x in raw])
 
     later = whole.join(room, "node").select("node", "grp", "n", "missing", F.explode(numbers("tokens")).alias("token"))
     later = materialise(later, "later")
