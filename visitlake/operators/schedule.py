@@ -170,29 +170,42 @@ def first_free_day(slots: DataFrame, bookings: DataFrame, first: Column, days: i
 
 def full_days(slots: DataFrame, bookings: DataFrame, now: Column) -> DataFrame:
     """Days with slots ahead and none of them free: the only days one can wait for."""
-    return free_per_day(slots, bookings, now).where((F.col("ahead") > 0) & (F.col("free") == 0))
+    today = F.col("slot_date") >= F.to_date(now)
+    return free_per_day(slots.where(today), bookings.where(today), now).where((F.col("ahead") > 0) & (F.col("free") == 0))
 
 
 # ---- lists -------------------------------------------------------------------------------------------------------
-def upcoming_topn(star: DataFrame, n: int, now: Column) -> DataFrame:
-    """The next `n` confirmed appointments; the id breaks ties so that the list is stable."""
-    return star.where(is_upcoming(now)).orderBy("slot_start", "booking_id").limit(n)
+def upcoming_topn(bookings: DataFrame, n: int, now: Column) -> DataFrame:
+    """The next `n` confirmed appointments; the id breaks ties so that the list is stable. Details are joined to these rows only."""
+    return bookings.where(is_upcoming(now)).orderBy("slot_start", "booking_id").limit(n)
 
 
-def bookings_page(star: DataFrame, page: int, per_page: int, status: str | None = None) -> DataFrame:
-    """One page of appointments, newest first. The total is `bookings_total`."""
-    rows = star.where(F.col("status") != CLOSED)
-    if status:
-        rows = rows.where(F.col("status") == status)
-    return (rows.orderBy(F.desc("slot_date"), F.desc("slot_start"), F.desc("booking_id"))
-            .offset((page - 1) * per_page).limit(per_page))
+PAGE_ORDER = ("slot_date", "slot_start", "booking_id")
+
 
+def bookings_page(bookings: DataFrame, per_page: int, after: Column | None = None, status: str | None = None) -> DataFrame:
+    """A page of appointments, newest first: the `per_page` rows that follow the row with key `after` (`page_end` of the page before).
 
-def bookings_total(bookings: DataFrame, status: str | None = None) -> DataFrame:
+    Every page costs the same however far down it is; details are joined to its rows only. The totals are `bookings_total`.
+    """
     rows = bookings.where(F.col("status") != CLOSED)
     if status:
         rows = rows.where(F.col("status") == status)
-    return rows.agg(F.count(F.lit(1)).alias("total"))
+    if after is not None:
+        rows = rows.where(F.struct(*PAGE_ORDER) < after)
+    return rows.orderBy(*[F.desc(c) for c in PAGE_ORDER]).limit(per_page)
+
+
+def page_end(page: DataFrame) -> Column:
+    """The key of the last row of a page."""
+    return page.agg(F.min(F.struct(*PAGE_ORDER))).scalar()
+
+
+def bookings_total(bookings: DataFrame) -> DataFrame:
+    """Appointments by status, and of all statuses together under `all`, in one pass."""
+    rows = bookings.where(F.col("status") != CLOSED)
+    return rows.rollup("status").agg(F.count(F.lit(1)).alias("total"), F.grouping("status").alias("g")).select(
+        F.when(F.col("g") == 1, "all").otherwise(F.col("status")).alias("status"), "total")
 
 
 def patient_history(bookings: DataFrame, now: Column) -> DataFrame:
@@ -253,7 +266,9 @@ def reopen(bookings: DataFrame, first: Column, last: Column) -> DataFrame:
 def standby_board(standby: DataFrame, slots: DataFrame, bookings: DataFrame, now: Column, max_waiting: int = 10) -> DataFrame:
     """Entries from today on: free slots now, place in the queue of that doctor and day, the patient's own load."""
     live = standby.where(F.col("slot_date") >= F.to_date(now))
-    free = free_per_day(slots, bookings, now).select("doctor_id", "slot_date", "free")
+    waited, today = live.select("doctor_id", "slot_date").distinct(), F.col("slot_date") >= F.to_date(now)
+    asked = slots.where(today).join(waited, ["doctor_id", "slot_date"], "left_semi")
+    free = free_per_day(asked, bookings.where(today), now).select("doctor_id", "slot_date", "free")
     load = live.groupBy("patient_id").agg(F.count(F.lit(1)).alias("waiting"))
     placed = running(live.withColumn("__t", C.micros(F.col("created_at"))), ["doctor_id", "slot_date"], ["__t", "standby_id"],
                      {"place": run_sum(F.lit(1).cast("long"))}).drop("__t")

@@ -177,21 +177,24 @@ def standby_cleared(spark, sf):
 @query("upcoming_topn", with_views(STAR_VIEWS, f"""
 SELECT {STAR_OUT} FROM ({STAR_SQL}) t WHERE status = 'confirmed' AND t.slot_start > {NOW_SQL} ORDER BY t.slot_start, booking_id LIMIT 25"""))
 def upcoming_topn(spark, sf):
-    return schedule.upcoming_topn(star(spark, sf), 25, V.now())
+    top = schedule.upcoming_topn(V.bookings(spark, sf), 25, V.now())
+    return schedule.booking_star(top, V.doctors(spark, sf), V.users(spark, sf)).orderBy("slot_start", "booking_id")
 
 
 @query("bookings_page", with_views(STAR_VIEWS, f"""
 SELECT {STAR_OUT} FROM ({STAR_SQL}) t WHERE status <> 'closed' ORDER BY t.slot_date DESC, t.slot_start DESC, booking_id DESC LIMIT 50 OFFSET 50"""))
 def bookings_page(spark, sf):
-    return schedule.bookings_page(star(spark, sf), page=2, per_page=50)
+    """The second page."""
+    b = V.bookings(spark, sf)
+    rows = schedule.bookings_page(b, 50, after=schedule.page_end(schedule.bookings_page(b, 50)))
+    return schedule.booking_star(rows, V.doctors(spark, sf), V.users(spark, sf)).orderBy(*[F.desc(c) for c in schedule.PAGE_ORDER])
 
 
 @query("bookings_total", with_views(["bookings"], f"""
-SELECT status, {big('count(*)', 'total')} FROM bookings WHERE status IN ('no_show', 'completed') GROUP BY status"""))
+SELECT status, {big('count(*)', 'total')} FROM bookings WHERE status <> 'closed' GROUP BY status
+UNION ALL SELECT 'all', {big('count(*)', 'total')} FROM bookings WHERE status <> 'closed'"""))
 def bookings_total(spark, sf):
-    b = V.bookings(spark, sf)
-    parts = [schedule.bookings_total(b, s).select(F.lit(s).alias("status"), "total") for s in ("no_show", "completed")]
-    return parts[0].unionByName(parts[1])
+    return schedule.bookings_total(V.bookings(spark, sf))
 
 
 @query("patient_history", with_views(["bookings"], f"""
