@@ -99,3 +99,14 @@ def test_grids_variants_and_ties(spark):
     tied = spark.createDataFrame([(0, 0.5), (1, 0.7), (2, 0.7)], "rank int, v double")
     assert argmax(tied, [], "v", "rank").first()["rank"] == 1
     assert argmax(spark.createDataFrame([(0, 0.2), (1, 0.2)], "rank int, v double"), [], "v", "rank", lowest=True).first()["rank"] == 0
+
+
+def test_a_stored_model_scores_alike_in_another_session(spark, train, tmp_path):
+    recipe = training.Recipe("logistic_regression", COLUMNS, {"C": 0.5}, row_id=("appointment_id",))
+    fitted = training.fit(recipe, train)
+    fitted.save(f"file://{tmp_path}/model", "v1")
+    again, version = training.load(spark.newSession(), f"file://{tmp_path}/model")
+    assert version == "v1" and again.recipe == recipe
+    a = {r["appointment_id"]: r["p"] for r in fitted.score(train).collect()}
+    b = {r["appointment_id"]: r["p"] for r in again.score(train).collect()}
+    assert len(a) == 900 and a == b
