@@ -91,8 +91,8 @@ def language_columns(text: Column, dictionaries: dict[str, bytes], min_margin: f
             got = [one(t) if isinstance(t, str) else (UNKNOWN, 0.0) for t in texts]
             yield pd.DataFrame({"lang_pred": [g[0] for g in got], "score": [g[1] for g in got], "accepted": [g[1] >= min_margin for g in got]})
 
-    # a text without letters is never compressed
-    return classify(F.when(text.rlike(r"\p{L}"), text))
+    # a text without letters is never compressed; a filter on the answer must not make Spark ask twice
+    return classify.asNondeterministic()(F.when(text.rlike(r"\p{L}"), text))
 
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text", min_margin: float = MIN_MARGIN) -> DataFrame:
