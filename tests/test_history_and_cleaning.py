@@ -47,6 +47,15 @@ def test_history_equals_a_loop_and_ignores_later_outcomes(spark):
     assert before_booking(df).count() == 0
 
 
+def test_an_appointment_before_its_booking_fails(spark):
+    from datetime import datetime
+
+    row = (1, 1, datetime(2016, 5, 3), datetime(2016, 5, 2), 1)
+    df = spark.createDataFrame([row], "id long, patient_id long, scheduled_at timestamp, appointment_date timestamp, no_show int")
+    with pytest.raises(Exception, match="before its booking"):
+        history_asof(df).collect()
+
+
 def test_feature_mismatch_treats_null_as_equal(spark):
     a = spark.createDataFrame([(1, 0.5), (2, None), (3, 1.0)], "k long, f double")
     b = spark.createDataFrame([(1, 0.5), (2, None), (3, 2.0), (4, 0.0)], "k long, f double")
