@@ -12,6 +12,8 @@ from visitlake.plans.catalog import query
 
 #: near copies: five-word shingles, Jaccard similarity of 0.8 or more
 NEAR_WORDS, NEAR_PERCENT = 5, 80
+#: words a Python worker remembers while packing: few, as the workers of a pipeline outlive its stages
+PACK_WORDS = 200_000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +49,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in as few sequences of 4096 tokens as possible."""
-    placed = packing.pack_documents(docs, vocabulary_path())
+    placed = packing.pack_documents(docs, vocabulary_path(), remembered=PACK_WORDS)
     return placed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 

@@ -32,11 +32,10 @@ def test_codec_equals_the_library(texts):
         start = end
 
 
-def test_codec_special_strings_and_forgetting(monkeypatch):
+def test_codec_special_strings_and_forgetting():
     texts = ["a <|endoftext|> b", "x<|startoftext|>", "it's 'tis don't, isn't.", "word, word. Word", None, ""]
-    monkeypatch.setattr("visitlake.llm.tokens.REMEMBERED", 3)
-    codec = WordCodec(vocabulary_path())
-    for _ in range(3):
+    codec = WordCodec(vocabulary_path(), remembered=9)
+    for _ in range(4):
         ids, bounds = codec.encode_documents(texts)
         assert [x.tolist() for x in np.split(ids, bounds[:-1])] == [direct(t) + [1] for t in texts]
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from visitlake.llm.store import write_table
 from visitlake.llm.tokens import END_ID, codec
 
 #: ids in a block, which bounds a task's memory together with the longest document
@@ -222,7 +223,7 @@ def write_grammar_files(docs: DataFrame, folder: str, path: str, id_col: str = "
 
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(blocks, schema).write.option("compression", "zstd").parquet(folder)
+    write_table(rows.mapInArrow(blocks, schema), folder)
 
 
 def read_grammar_files(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:

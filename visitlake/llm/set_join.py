@@ -216,7 +216,7 @@ def similar_documents(docs: DataFrame, width: int, percent: int, id_col: str = "
     first_links = materialise(linked_pairs(best.select("a", "b"), sets, percent), "first-links")
     done = best.join(first_links, ["a", "b"]).select("a", "other")
     rest = pairs.join(done, ["a", "other"], "left_anti").join(best.select("a", "b"), ["a", "b"], "left_anti").select("a", "b")
-    other_links = linked_pairs(rest, sets, percent)
+    other_links = materialise(linked_pairs(rest, sets, percent), "other-links")
     found = components(star.union(first_links).union(other_links))
     # smallest id of each component, back to the rows by the set
     labels = nodes.join(found, "node", "left").select("sig", "label", F.coalesce("component", "node").alias("component"))

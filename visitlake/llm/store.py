@@ -22,12 +22,28 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{work_folder(spark)}/visitlake-{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+#: rows that Python workers get at a time while a table is written: whole texts are long, and two workers share an executor's memory
+BATCH_ROWS = 1_000
+_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def write_table(df: DataFrame, path: str) -> None:
+    """Write `df` as Parquet, its Python parts in batches of `BATCH_ROWS`; the session's own setting is put back."""
+    conf = df.sparkSession.conf
+    usual = conf.get(_BATCH_CONF)
+    conf.set(_BATCH_CONF, str(BATCH_ROWS))
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        conf.set(_BATCH_CONF, usual)
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once as Parquet into the shared folder and return the table read back.
 
     The plan above starts from files that outlive any executor, and what made them runs once however often it is read.
     """
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.option("compression", codec).parquet(path)
+    write_table(df, path)
     return spark.read.schema(df.schema).parquet(path)

@@ -8,8 +8,8 @@ from functools import lru_cache
 import numpy as np
 
 END_ID = 1
-#: words remembered by one Python worker before it starts anew: bounds its memory, changes no result
-REMEMBERED = 1_000_000
+#: words remembered by one Python worker before it forgets all but the most frequent: bounds its memory, changes no result
+REMEMBERED = 700_000
 _SENTINEL = "<|endoftext|>"
 #: a text with one of these is encoded whole: special tokens, and what Python but not the library takes for white space
 _WHOLE = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
@@ -51,7 +51,8 @@ class WordCodec:
     hold is encoded whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
+        self.remembered = remembered
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -67,13 +68,28 @@ class WordCodec:
         self.flat, self.used = np.empty(1 << 20, np.uint32), 0
         self.starts = np.zeros(1 << 18, np.int64)
         self.sizes = np.zeros(1 << 18, np.int64)
+        self.met = np.zeros(1 << 18, np.int64)
+
+    def forget_rare(self) -> None:
+        """Start anew with those words met most often, a third at most, that were met more than once."""
+        n = len(self.index)
+        often = np.sort(np.argsort(-self.met[:n], kind="stable")[:self.remembered // 3])
+        often = often[self.met[often] > 1]
+        words, met = np.array(list(self.index), object)[often].tolist(), self.met[often]
+        ids, _ = self._gather(often)
+        sizes = self.sizes[often]
+        self.forget()
+        for number, word in enumerate(words):
+            self.index[word] = number
+        self._store(np.arange(len(words)), ids, sizes)
+        self.met[:len(words)] = met
 
     def _store(self, numbers: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
         if self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty(max(len(self.flat), len(ids)), np.uint32)])
         if len(self.index) > len(self.starts):
             more = np.zeros(max(len(self.starts), len(self.index)), np.int64)
-            self.starts, self.sizes = np.concatenate([self.starts, more]), np.concatenate([self.sizes, more])
+            self.starts, self.sizes, self.met = (np.concatenate([x, more]) for x in (self.starts, self.sizes, self.met))
         self.flat[self.used:self.used + len(ids)] = ids
         ends = np.cumsum(sizes)
         self.starts[numbers] = self.used + ends - sizes
@@ -120,8 +136,8 @@ class WordCodec:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and the end of each text among them."""
-        if len(self.index) > REMEMBERED:
-            self.forget()
+        if len(self.index) > self.remembered:
+            self.forget_rare()
         words, counts, whole = [], [], {}
         for k, text in enumerate(texts):
             if text and any(mark in text for mark in _WHOLE):
@@ -135,6 +151,7 @@ class WordCodec:
                 counts.append(0)
         entries = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
         self._learn()
+        self.met[:len(self.index)] += np.bincount(entries, minlength=len(self.index))
         flat, ends = self._gather(entries)
         bounds = np.concatenate([[0], ends])[np.cumsum(counts, dtype=np.int64)]
         if whole:
@@ -150,6 +167,6 @@ class WordCodec:
 
 
 @lru_cache(maxsize=1)
-def codec(path: str) -> WordCodec:
+def codec(path: str, remembered: int = REMEMBERED) -> WordCodec:
     """The worker's codec for a vocabulary file."""
-    return WordCodec(path)
+    return WordCodec(path, remembered)
