@@ -29,15 +29,18 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents the one with the smallest doc_id stays, and every document without words.
+    """Of each group of similar documents the row with the smallest doc_id stays, and every document without words.
 
-    An id goes only if all its rows go; rows without an id are never the ones that stay for others.
+    Rows go, not ids: an id may have a text that goes and one that stays. Among rows of one id, and where no row of a group has an id,
+    the smallest text hash stays. Rows equal in id and text share their fate; exact deduplication leaves no such rows.
     """
-    found = set_join.similar_documents(docs, NEAR_WORDS, NEAR_PERCENT)
+    found = set_join.linked_rows(docs, NEAR_WORDS, NEAR_PERCENT).where("component IS NOT NULL")
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
+    first = found.groupBy("component").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1")
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    goes = found.groupBy(key.alias("__key")).agg(F.min((~F.col("doc_id").eqNullSafe(F.col("component_id"))).cast("int")).alias("goes"))
-    goes = materialise(goes.where("goes = 1").select("__key"), "near-copies")
-    rest = set_join.beside(docs.withColumn("__key", key), goes, ["__key"], "left_anti")
+    goes = found.join(first, "component").where(~place.eqNullSafe(F.col("first"))).select(key.alias("__key"), F.col("text_hash").alias("__hash")).distinct()
+    goes = materialise(goes, "near-copies")
+    rest = set_join.beside(docs.withColumns({"__key": key, "__hash": set_join.text_hash("text")}), goes, ["__key", "__hash"], "left_anti")
     return rest.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -14,6 +14,7 @@ from hashlib import blake2b
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -84,8 +85,8 @@ def _slices(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.
 
 
 def profiles(docs: DataFrame, sim: Similar) -> DataFrame:
-    """doc_id, n, sig (128-bit hash of the set), bands and sorted low tokens of every row of doc_id and text."""
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("n", T.LongType()), T.StructField("sig", T.BinaryType()),
+    """doc_id, text_hash, n, sig (128-bit hash of the set), bands and sorted low tokens of every row of doc_id, text_hash and text."""
+    schema = T.StructType([docs.schema["doc_id"], docs.schema["text_hash"], T.StructField("n", T.LongType()), T.StructField("sig", T.BinaryType()),
                            T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("low", T.ArrayType(T.LongType()))])
 
     limit = np.uint64(sim.low_limit)
@@ -101,10 +102,10 @@ def profiles(docs: DataFrame, sim: Similar) -> DataFrame:
             low = [s[:np.searchsorted(s, limit)] for s in sets]
             ends = np.cumsum([0] + [len(x) for x in low])
             low_lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(low).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.binary()),
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.binary()),
                                               band_lists, low_lists], names=schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(work, schema)
+    return docs.select("doc_id", "text_hash", "text").mapInArrow(work, schema)
 
 
 def signature(tokens: np.ndarray) -> bytes:
@@ -112,14 +113,27 @@ def signature(tokens: np.ndarray) -> bytes:
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
-    """node and its whole set as bytes, of rows of node, sig and text whose text has that signature (an id may have other texts too)."""
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, sets in _slices(batches, width):
-            own = [k for k, (s, sig) in enumerate(zip(sets, part.column(1).to_pylist())) if signature(s) == sig]
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(own, pa.int64())), pa.array([sets[k].tobytes() for k in own], pa.binary())],
-                                             names=["node", "tokens"])
+    """node, its whole set as bytes and the task that made it, of rows of node, sig and text whose text has that signature.
 
-    return docs.select("node", "sig", "text").mapInArrow(work, "node long, tokens binary")
+    Rows that repeat a node's text have the same set, so a task makes a node's set once.
+    """
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, made = TaskContext.get().partitionId(), set()
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH_TEXTS):
+                part = batch.slice(at, BATCH_TEXTS)
+                fresh = [k for k, node in enumerate(part.column(0).to_pylist()) if node not in made]
+                part = part.take(pa.array(fresh, pa.int64()))
+                nodes, sigs, texts = (column.to_pylist() for column in part.columns)
+                sets, own = shingle_sets(texts, width), []
+                for k, (node, sig) in enumerate(zip(nodes, sigs)):
+                    if node not in made and signature(sets[k]) == sig:
+                        made.add(node)
+                        own.append(k)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(own, pa.int64())), pa.array([sets[k].tobytes() for k in own], pa.binary()),
+                                                  pa.array([task] * len(own), pa.int32())], names=["node", "tokens", "task"])
+
+    return docs.select("node", "sig", "text").mapInArrow(work, "node long, tokens binary, task int")
 
 
 def beside(rows: DataFrame, table: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
@@ -145,7 +159,17 @@ def linked_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def similar_documents(docs: DataFrame, width: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest id reachable by links).
+    """One row per document: doc_id, n_shingles, component_id (smallest id reachable by links)."""
+    return linked_rows(docs, width, percent, id_col, text_col).select("doc_id", "n_shingles", "component_id")
+
+
+def text_hash(text: str) -> Column:
+    """What tells the texts of one id apart."""
+    return F.xxhash64(F.col(f"`{text}`"))
+
+
+def linked_rows(docs: DataFrame, width: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`similar_documents` with text_hash and component, the number of the component (NULL without words).
 
     1. Equal sets are one node. 2. Documents that share a band of minimum hashes meet the smallest of them, are compared with it by
     their whole sets, and what links forms the groups: one comparison a row and band, however many share it. 3. The matrix: each
@@ -159,11 +183,13 @@ def similar_documents(docs: DataFrame, width: int, percent: int, id_col: str = "
     ids can be linked but are never the smallest. An empty table gives an empty result. Other columns are not read.
     """
     sim = Similar(width, percent)
-    texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_hash(text_col).alias("text_hash"), F.col(f"`{text_col}`").alias("text"))
     profile = materialise(profiles(texts, sim).withColumn("uid", F.monotonically_increasing_id()), "profile")
     # 1: nodes
     filled = profile.where("n > 0")
-    nodes = materialise(filled.groupBy("sig").agg(F.min("uid").alias("node"), F.min("doc_id").alias("label"), F.first("n").alias("n"),
+    # the text of a node is found again by its hash and, where there is one, its smallest id
+    key = F.coalesce(F.min_by("text_hash", "doc_id"), F.min("text_hash")).alias("key")
+    nodes = materialise(filled.groupBy("sig").agg(F.min("uid").alias("node"), F.min("doc_id").alias("label"), key, F.first("n").alias("n"),
                                                   F.first(F.size("low")).cast("bigint").alias("low"), F.first("bands").alias("bands")), "nodes")
     # 2: groups
     banded = nodes.select("node", "n", F.explode("bands").alias("band"))
@@ -220,9 +246,9 @@ def similar_documents(docs: DataFrame, width: int, percent: int, id_col: str = "
     found = components(star.union(first_links).union(other_links))
     # smallest id of each component, back to the rows by the set
     labels = nodes.join(found, "node", "left").select("sig", "label", F.coalesce("component", "node").alias("component"))
-    labels = labels.join(labels.groupBy("component").agg(F.min("label").alias("component_id")), "component").select("sig", "component_id")
+    labels = labels.join(labels.groupBy("component").agg(F.min("label").alias("component_id")), "component").select("sig", "component", "component_id")
     out = profile.join(labels, "sig", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "text_hash", "component", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def _sizes_fit(a: str, b: str, percent: int) -> Column:
@@ -230,10 +256,15 @@ def _sizes_fit(a: str, b: str, percent: int) -> Column:
 
 
 def _sets_of(texts: DataFrame, nodes: DataFrame, wanted: DataFrame, sim: Similar) -> DataFrame:
-    """Whole sets of the wanted nodes, from the text of the smallest id of each."""
-    ids = nodes.join(wanted.distinct(), "node", "left_semi").select(F.coalesce(F.col("label").cast("string"), F.lit("null")).alias("key"), "node", "sig")
-    keyed = texts.select("text", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("key"))
-    return materialise(full_sets(beside(keyed, materialise(ids, "wanted"), ["key"]), sim.width), "sets")
+    """Whole sets of the wanted nodes, one row each, from a text with the node's smallest id (any of its rows where none has an id)."""
+    ids = nodes.join(wanted.distinct(), "node", "left_semi").select("key", "label", "node", "sig")
+    keyed = texts.select("doc_id", "text", F.col("text_hash").alias("key"))
+    found = beside(keyed, materialise(ids, "wanted"), ["key"]).where(F.col("label").isNull() | (F.col("doc_id") == F.col("label")))
+    sets = materialise(full_sets(found, sim.width), "sets")
+    # rows that repeat a text may have met in several tasks; only nodes and tasks are read here
+    made = sets.groupBy("node").agg(F.min("task").alias("first"), F.max("task").alias("last")).where("first <> last")
+    again = sets.select("node", "task").join(made, "node").where("task <> first").select("node", "task")
+    return beside(sets, materialise(again, "again"), ["node", "task"], "left_anti").select("node", "tokens")
 
 
 def _later_tokens(texts: DataFrame, nodes: DataFrame, room: DataFrame, flagged: DataFrame, sim: Similar) -> DataFrame:
