@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitlake.llm import chat, exact_dedup, grammar_files, language, mixing, packing, pseudonyms, set_join, url_cascade, vector_dedup
+from visitlake.llm import (chat, exact_dedup, grammar_files, language, mixing, orchard, packing, prefix_trie, pseudonyms, set_join, toxicity, url_cascade,
+                           vector_dedup)
 from visitlake.llm.store import materialise, new_folder
 from visitlake.llm.tokens import vocabulary_path
 from visitlake.plans.catalog import query
@@ -192,3 +193,79 @@ def op9_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_set_join")
 def op10_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return set_join.similar_documents(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
+@query("op11_toxicity")
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labelled = toxicity.labelled_texts(docs.where(~held_out()), table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, toxicity.fit(labelled))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+TRIE_SQL = """
+WITH turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos,
+         md5(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')) AS token,
+         octet_length(encode(coalesce(text, ''))) AS bytes
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base,
+         (4294967295 - list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(conv_id::VARCHAR, ''),
+            lambda ch: list_prepend(ascii(ch)::BIGINT, [256::BIGINT, 256, 256, 256, 256, 256, 256, 256])))),
+            lambda crc, b: CASE WHEN b < 256 THEN xor(crc, b) ELSE xor(crc >> 1, 3988292384 * (crc & 1)) END)) % 9 AS h
+  FROM (SELECT DISTINCT conv_id FROM turns)),
+there AS (SELECT conv_id AS base, max(pos) AS n FROM turns GROUP BY 1),
+rebuilt AS (
+  SELECT i.conv_id, t.pos, t.token, t.bytes FROM ids i JOIN turns t ON t.conv_id = i.base AND t.pos <= i.h
+  UNION ALL
+  SELECT i.conv_id, t.pos - i.h + least(i.h, coalesce(n, 0)), t.token, t.bytes
+  FROM ids i JOIN turns t ON t.conv_id = i.conv_id AND t.pos > i.h LEFT JOIN there ON there.base = i.base),
+steps AS MATERIALIZED (
+  SELECT conv_id, 0 AS depth, '' AS path, NULL AS up, 0 AS bytes FROM ids
+  UNION ALL
+  SELECT conv_id, pos, string_agg(token, '') OVER w, coalesce(string_agg(token, '') OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), ''), bytes
+  FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY pos)),
+nodes AS MATERIALIZED (SELECT depth, path, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes FROM steps GROUP BY 1, 2),
+kids AS MATERIALIZED (SELECT up AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+below AS (
+  SELECT a.path, count(*) FILTER (WHERE k.n IS NULL) AS n_leaves, sum((n.n_convs - 1) * n.bytes) AS saved
+  FROM nodes n JOIN steps a ON a.conv_id = n.conv_id AND a.depth <= n.depth LEFT JOIN kids k ON k.path = n.path GROUP BY 1),
+ends AS (SELECT path, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM (SELECT conv_id, arg_max(path, depth) AS path FROM steps GROUP BY 1) GROUP BY 1)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n, 0) AS n_children, b.n_leaves, b.saved::BIGINT AS saved_tokens,
+       sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM nodes n JOIN below b USING (path) LEFT JOIN kids k USING (path) LEFT JOIN ends e USING (path)
+LEFT JOIN nodes p ON p.path = n.up AND n.depth > 0"""
+
+
+@query("op12_prefix_trie", TRIE_SQL)
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def _orchard_sql(rounds: int) -> str:
+    far = "list_sum(list_transform(list_zip(v.q, c.q), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT"
+    parts = []
+    for r in range(rounds + 1):
+        parts.append(f"""
+a{r} AS MATERIALIZED (SELECT v.id, min((({far}), c.cluster)) AS best FROM v CROSS JOIN c{r} c GROUP BY 1)""")
+        if r < rounds:
+            parts.append(f"""
+m{r} AS (SELECT best[2] AS cluster, dim, sum(x)::BIGINT AS s, count(*) AS n
+       FROM (SELECT best, unnest(v.q) AS x, generate_subscripts(v.q, 1) AS dim FROM a{r} JOIN v USING (id)) GROUP BY 1, 2),
+c{r + 1} AS MATERIALIZED (SELECT c.cluster, coalesce(any_value(f.q), any_value(c.q)) AS q FROM c{r} c LEFT JOIN
+       (SELECT cluster, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY dim) AS q FROM m{r} GROUP BY 1) f USING (cluster) GROUP BY 1)""")
+    last = rounds
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), q) - 1 AS cluster, q FROM v QUALIFY cluster < 8),{','.join(parts)}
+SELECT v.vec_id, best[2]::INTEGER AS cluster, best[1] AS distance, (sum(best[1]) OVER (PARTITION BY best[2]))::BIGINT AS cluster_inertia,
+       (sum(best[1]) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.q, ',')) AS centroid_sha256
+FROM a{last} JOIN v USING (id) JOIN c{last} c ON c.cluster = best[2]"""
+
+
+@query("op13_orchard", _orchard_sql(10))
+def op13_orchard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orchard.cluster(table(spark, sf_dir, "embeddings"))
