@@ -75,12 +75,14 @@ def grams(texts: list[str | None], bits: int = BUCKET_BITS) -> Iterator[tuple[np
 
 def present(texts: list[str | None], chosen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (text, bucket) pairs, of the chosen buckets if given, sorted by text."""
-    keys = np.zeros(0, np.int64)
+    parts = []
     for row, bucket in grams(texts):
         if chosen is not None:
             kept = chosen[bucket]
             row, bucket = row[kept], bucket[kept]
-        keys = np.union1d(keys, (row << BUCKET_BITS) | bucket) if len(keys) else np.unique((row << BUCKET_BITS) | bucket)
+        parts.append((row << BUCKET_BITS) | bucket)
+    keys = np.sort(np.concatenate(parts))
+    keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])[:len(keys)]]
     return keys >> BUCKET_BITS, keys & ((1 << BUCKET_BITS) - 1)
 
 
