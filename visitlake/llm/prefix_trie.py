@@ -121,6 +121,9 @@ def shard_nodes(table: pa.Table) -> pa.Table:
     for d, key in enumerate(_spine_keys(tokens[starts[-1]:], right)):
         keys[trie.last[d]] = key
     spine = np.array([k is not None for k in keys])
+    leaves = trie.leaves.copy()
+    if right == lengths[-1]:
+        leaves[trie.last] -= 1  # the last path goes on in the next shard, so its end is no leaf
     own = np.concatenate([[0], np.cumsum(np.where(spine, 0, (n_convs - 1) * text))])
     children = np.bincount(trie.parent[1:][~spine[1:]], minlength=len(nodes))
     least = range_least(reps, lo, hi)
@@ -129,7 +132,7 @@ def shard_nodes(table: pa.Table) -> pa.Table:
     ends[~spine & (ends == None)] = hashlib.sha256(b"").hexdigest()  # noqa: E711
     parent_keys = [keys[p] if i else None for i, p in enumerate(trie.parent.tolist())]
     inner = np.array([i > 0 and k is None for i, k in enumerate(parent_keys)])
-    columns = [pa.array(least), pa.array(trie.depth), pa.array(least[trie.parent], mask=~inner), pa.array(n_convs), pa.array(children), pa.array(trie.leaves),
+    columns = [pa.array(least), pa.array(trie.depth), pa.array(least[trie.parent], mask=~inner), pa.array(n_convs), pa.array(children), pa.array(leaves),
                pa.array(own[trie.after] - own[nodes]), pa.array(ends.tolist(), pa.string()), pa.array(keys, pa.binary()), pa.array(parent_keys, pa.binary()),
                pa.array(text), pa.array(np.full(len(nodes), shard))]
     return pa.Table.from_arrays(columns, schema=pa.schema(list(zip(_names(), _arrow()))))
