@@ -29,6 +29,8 @@ BANDS = 6
 MORE_LOW = 0.07
 #: a token of more groups than this is common and goes last
 COMMON_GROUPS = 64
+#: rounds in which nodes meet the hubs of the groups found so far; they decide nothing
+HUB_ROUNDS = 3
 #: one more shared token is asked for every so many tokens of a set
 EXTRA_EVERY = 50
 #: a table of ids up to this size is sent to all tasks; a larger one is joined by shuffle
@@ -199,20 +201,33 @@ def linked_rows(docs: DataFrame, width: int, percent: int, id_col: str = "doc_id
     meet = materialise(meet, "meet")
     sets = _sets_of(texts, nodes, meet.select(F.col("a").alias("node")).union(meet.select("b")), sim)
     star = materialise(linked_pairs(meet, sets, percent), "star")
-    groups = materialise(components(star), "groups")
+    met_before = meet
+    for _ in range(HUB_ROUNDS):
+        groups = materialise(components(star), "groups")
+        more = materialise(_meet_hubs(banded, groups, star, met_before, percent), "meet-hubs")
+        met_before = met_before.unionByName(more)
+        links = materialise(linked_pairs(more, sets, percent), "star")
+        star = star.unionByName(links)
+        if links.isEmpty():
+            break
+    else:
+        groups = materialise(components(star), "groups")
+    hubs = _hubs(groups, star)
     # 3: the matrix
     placed = materialise(nodes.join(groups, "node", "left").select("sig", "node", "n", "low", F.coalesce("component", "node").alias("grp")), "placed")
     group_sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    rows = filled.select("uid", F.posexplode("low").alias("pos", "token"))
+    rows = filled.select("uid", F.explode("low").alias("token"))
     shared = rows.groupBy("token").agg(F.min("uid").alias("first"), F.max("uid").alias("last")).where("first <> last").select("token")
     # a node is the row it was first seen in, so rows of copies find no node
-    met = rows.join(shared, "token").withColumnRenamed("uid", "node").join(placed.select("node", "n", "grp"), "node")
+    met = rows.join(shared, "token").withColumnRenamed("uid", "node").join(placed.select("node", "n", "grp", "low"), "node")
     met = materialise(met, "met")
     spread = met.select("token", "grp").distinct().groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    flagged = met.join(spread.select("token", (F.col("c") > COMMON_GROUPS).alias("common")), "token")
+    flagged = met.join(spread.select("token", "c", (F.col("c") > COMMON_GROUPS).alias("common")), "token")
     flagged = materialise(flagged, "flagged")
-    order = Window.partitionBy("node").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    usual = (flagged.withColumn("place", F.col("pos") - F.sum(F.col("common").cast("int")).over(order))
+    # rare tokens first: those of one group alone, then by the number of groups that have them
+    order = Window.partitionBy("node").orderBy("c", "token")
+    alone = F.col("low") - F.count(F.lit(1)).over(Window.partitionBy("node"))
+    usual = (flagged.withColumn("place", alone + F.row_number().over(order) - 1)
              .where(~F.col("common") & (F.col("place") < sim.prefix(F.col("n")))).select("token", "node", "grp", "n"))
     commons = flagged.where("common").groupBy("node").agg(F.count(F.lit(1)).alias("c"))
     room = placed.join(commons, "node", "left").withColumn("missing", sim.prefix(F.col("n")) - F.col("low") + F.coalesce("c", F.lit(0))).where("missing > 0")
@@ -229,6 +244,15 @@ def linked_rows(docs: DataFrame, width: int, percent: int, id_col: str = "doc_id
             .where((F.col("c") >= sim.least_matches(F.col("n"))) & (F.col("low") <= F.col("high"))
                    & (sim.may_link(F.col("n"), F.col("low"), F.col("c") + 2) | sim.may_link(F.col("n"), F.col("high"), F.col("c") + 2))))
     asks = materialise(asks.select("node", "other"), "asks")
+    # the hub of a group first: a node that links with it need not open the group
+    heads = asks.join(hubs.select(F.col("component").alias("other"), "hub"), "other").select(F.col("node").alias("a"), F.col("hub").alias("b"), "other")
+    heads = materialise(heads, "heads")
+    known = sets.select("node")
+    asked = heads.select(F.col("a").alias("node")).union(heads.select("b")).distinct().join(known, "node", "left_anti")
+    sets = sets.unionByName(_sets_of(texts, nodes, asked, sim))
+    head_links = materialise(linked_pairs(heads.select("a", "b"), sets, percent), "head-links")
+    joined = heads.join(head_links, ["a", "b"]).select(F.col("a").alias("node"), "other")
+    asks = materialise(asks.join(joined, ["node", "other"], "left_anti"), "asks-left")
     queries = shown.join(asks, "node").select("token", F.col("node").alias("a"), F.col("n").alias("na"), "other")
     opened = shown.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("grp").alias("other"))
     pairs = (queries.join(opened, ["token", "other"]).where(_sizes_fit("na", "nb", percent))
@@ -243,7 +267,7 @@ def linked_rows(docs: DataFrame, width: int, percent: int, id_col: str = "doc_id
     done = best.join(first_links, ["a", "b"]).select("a", "other")
     rest = pairs.join(done, ["a", "other"], "left_anti").join(best.select("a", "b"), ["a", "b"], "left_anti").select("a", "b")
     other_links = materialise(linked_pairs(rest, sets, percent), "other-links")
-    found = components(star.union(first_links).union(other_links))
+    found = components(star.union(head_links).union(first_links).union(other_links))
     # smallest id of each component, back to the rows by the set
     labels = nodes.join(found, "node", "left").select("sig", "label", F.coalesce("component", "node").alias("component"))
     labels = labels.join(labels.groupBy("component").agg(F.min("label").alias("component_id")), "component").select("sig", "component", "component_id")
@@ -280,11 +304,34 @@ def _later_tokens(texts: DataFrame, nodes: DataFrame, room: DataFrame, flagged:
     def numbers(raw: pd.Series) -> pd.Series:
         return pd.Series([np.frombuffer(x, np.int64)[np.searchsorted(np.frombuffer(x, np.uint64), limit):] for x in raw])
 
-    later = whole.join(room, "node").select("node", "grp", "n", "missing", F.explode(numbers("tokens")).alias("token"))
+    later = whole.join(room, "node").withColumn("high", numbers("tokens")).select("node", "grp", "n", "missing", F.size("high").alias("all_high"), F.explode("high").alias("token"))
     later = materialise(later, "later")
-    common = (later.select("token", "grp").distinct().groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > COMMON_GROUPS)
-              .select("token", F.lit(1).alias("late")))
-    last = flagged.where("common").join(room.select("node", "missing"), "node").select("node", "grp", "n", "missing", "token", F.lit(2).alias("late"))
-    ranked = later.join(common, "token", "left").withColumn("late", F.coalesce("late", F.lit(0))).select("node", "grp", "n", "missing", "token", "late")
-    order = Window.partitionBy("node").orderBy("late", "token")
-    return ranked.unionByName(last).withColumn("place", F.row_number().over(order)).where("place <= missing").select("token", "node", "grp", "n")
+    spread = later.select("token", "grp").distinct().groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    shared = later.join(spread, "token").withColumn("low", F.lit(False))
+    last = flagged.where("common").select("node", "grp", "n", "token", "c").join(room.select("node", "missing"), "node").withColumn("low", F.lit(True))
+    # tokens of one group alone, which are not listed, take the first places
+    high = later.groupBy("node").agg(F.first("all_high").alias("all_high"))
+    ranked = shared.drop("all_high").unionByName(last).join(high, "node", "left")
+    own = Window.partitionBy("node")
+    alone = F.coalesce("all_high", F.lit(0)) - F.sum(F.when(F.col("low"), 0).otherwise(1)).over(own)
+    place = alone + F.row_number().over(own.orderBy("c", "token"))
+    return ranked.withColumn("place", place).where("place <= missing").select("token", "node", "grp", "n")
+
+
+def _hubs(groups: DataFrame, star: DataFrame) -> DataFrame:
+    """component, size and hub (the member with the most links, the smallest among equals) of every group."""
+    degree = star.select(F.col("a").alias("node")).unionAll(star.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
+    best = F.max_by("node", F.struct("links", -F.col("node")))
+    return groups.join(degree, "node").groupBy("component").agg(F.count(F.lit(1)).alias("size"), best.alias("hub"))
+
+
+def _meet_hubs(banded: DataFrame, groups: DataFrame, star: DataFrame, before: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b): a node outside the largest group of one of its bands, and that group's hub; one pair a node and band at most."""
+    hubs = _hubs(groups, star)
+    sized = hubs.join(banded.groupBy("node").agg(F.first("n").alias("nh")).withColumnRenamed("node", "hub"), "hub")
+    member = banded.join(groups, "node", "left")
+    tops = member.join(sized, "component").groupBy("band").agg(F.max(F.struct("size", "component", "hub", "nh")).alias("top")).select("band", "top.*")
+    pairs = member.select("band", "node", "n", F.col("component").alias("mine")).join(tops, "band").where(
+        F.col("mine").isNull() | (F.col("mine") != F.col("component"))).where(_sizes_fit("n", "nh", percent))
+    pairs = pairs.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
+    return pairs.join(before.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
