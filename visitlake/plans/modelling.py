@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..models import encoding, training
 from ..operators import features, history, risk, splits
+from ..session import stored
 from . import views as V
 from .catalog import query
 from .oracle import big, mix, num, with_views
@@ -20,8 +21,8 @@ def prepared(spark, sf):
     """(train with folds, holdout): clean visits with history, cut by date, whole patients per fold."""
     v = splits.holdout_by_date(history.history_asof(V.visits(spark, sf)))
     rows = features.dated_features(v, keep=["appointment_id", "patient_id", "part", "no_show"])
-    train = splits.grouped_folds(rows.where(F.col("part") == "train"), "patient_id", K).persist()
-    return train, rows.where(F.col("part") == "holdout").persist()
+    train = splits.grouped_folds(rows.where(F.col("part") == "train"), "patient_id", K)
+    return stored(train, "train"), stored(rows.where(F.col("part") == "holdout"), "holdout")
 
 
 def booked(spark, sf):
