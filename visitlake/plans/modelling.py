@@ -15,6 +15,7 @@ VISIT = ("appointment_id",)
 LR = training.Recipe("logistic_regression", COLUMNS, row_id=VISIT)
 SIX = training.Recipe("logistic_regression", risk.FEATURES, row_id=VISIT)
 K, N_BOOT = 5, 1000
+BOOSTED_SIX = training.Recipe("gradient_boosting", risk.FEATURES, {"max_iter": 10, "max_leaf_nodes": 15}, row_id=VISIT)
 
 
 def prepared(spark, sf):
@@ -98,8 +99,9 @@ def ablation(spark, sf):
 
 @query("imbalance")
 def imbalance(spark, sf):
+    """Six strategies on two base models. Boosting runs with fewer rounds than its default, as the README says with figures."""
     train, holdout = prepared(spark, sf)
-    return training.imbalance(SIX, train, holdout)
+    return training.imbalance([SIX, BOOSTED_SIX], train, holdout, K)
 
 
 @query("transfer")
