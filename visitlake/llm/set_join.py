@@ -36,6 +36,8 @@ EXTRA_EVERY = 50
 #: a table of ids up to this size is sent to all tasks; a larger one is joined by shuffle
 SMALL_ROWS = 1_000_000
 BATCH_TEXTS = 400
+#: pairs of whole sets that a Python worker gets at a time
+BATCH_PAIRS = 100
 _SEEDS = np.random.default_rng(7).integers(1, 1 << 63, 2 * BANDS, dtype=np.uint64) | np.uint64(1)
 
 
@@ -106,6 +108,7 @@ def profiles(docs: DataFrame, sim: Similar) -> DataFrame:
             low_lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(low).view(np.int64)))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.binary()),
                                               band_lists, low_lists], names=schema.names)
+        pa.default_memory_pool().release_unused()  # the worker outlives this step
 
     return docs.select("doc_id", "text_hash", "text").mapInArrow(work, schema)
 
@@ -134,6 +137,7 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
                         own.append(k)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(own, pa.int64())), pa.array([sets[k].tobytes() for k in own], pa.binary()),
                                                   pa.array([task] * len(own), pa.int32())], names=["node", "tokens", "task"])
+        pa.default_memory_pool().release_unused()
 
     return docs.select("node", "sig", "text").mapInArrow(work, "node long, tokens binary, task int")
 
@@ -152,6 +156,7 @@ def linked_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for x, y in zip(a, b):
             common = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
             out.append(100 * common >= percent * ((len(x) + len(y)) // 8 - common))
+        pa.default_memory_pool().release_unused()
         return pd.Series(out, dtype=bool)
 
     left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta"))
@@ -200,13 +205,13 @@ def linked_rows(docs: DataFrame, width: int, percent: int, id_col: str = "doc_id
     meet = meet.join(nodes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").where(_sizes_fit("na", "nb", percent)).select("a", "b")
     meet = materialise(meet, "meet")
     sets = _sets_of(texts, nodes, meet.select(F.col("a").alias("node")).union(meet.select("b")), sim)
-    star = materialise(linked_pairs(meet, sets, percent), "star")
+    star = materialise(linked_pairs(meet, sets, percent), "star", BATCH_PAIRS)
     met_before = meet
     for _ in range(HUB_ROUNDS):
         groups = materialise(components(star), "groups")
         more = materialise(_meet_hubs(banded, groups, star, met_before, percent), "meet-hubs")
         met_before = met_before.unionByName(more)
-        links = materialise(linked_pairs(more, sets, percent), "star")
+        links = materialise(linked_pairs(more, sets, percent), "star", BATCH_PAIRS)
         star = star.unionByName(links)
         if links.isEmpty():
             break
@@ -250,7 +255,7 @@ def linked_rows(docs: DataFrame, width: int, percent: int, id_col: str = "doc_id
     known = sets.select("node")
     asked = heads.select(F.col("a").alias("node")).union(heads.select("b")).distinct().join(known, "node", "left_anti")
     sets = sets.unionByName(_sets_of(texts, nodes, asked, sim))
-    head_links = materialise(linked_pairs(heads.select("a", "b"), sets, percent), "head-links")
+    head_links = materialise(linked_pairs(heads.select("a", "b"), sets, percent), "head-links", BATCH_PAIRS)
     joined = heads.join(head_links, ["a", "b"]).select(F.col("a").alias("node"), "other")
     asks = materialise(asks.join(joined, ["node", "other"], "left_anti"), "asks-left")
     queries = shown.join(asks, "node").select("token", F.col("node").alias("a"), F.col("n").alias("na"), "other")
@@ -263,10 +268,10 @@ def linked_rows(docs: DataFrame, width: int, percent: int, id_col: str = "doc_id
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(known, "node", "left_anti")
     sets = sets.unionByName(_sets_of(texts, nodes, asked, sim))
     best = pairs.groupBy("a", "other").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
-    first_links = materialise(linked_pairs(best.select("a", "b"), sets, percent), "first-links")
+    first_links = materialise(linked_pairs(best.select("a", "b"), sets, percent), "first-links", BATCH_PAIRS)
     done = best.join(first_links, ["a", "b"]).select("a", "other")
     rest = pairs.join(done, ["a", "other"], "left_anti").join(best.select("a", "b"), ["a", "b"], "left_anti").select("a", "b")
-    other_links = materialise(linked_pairs(rest, sets, percent), "other-links")
+    other_links = materialise(linked_pairs(rest, sets, percent), "other-links", BATCH_PAIRS)
     found = components(star.union(head_links).union(first_links).union(other_links))
     # smallest id of each component, back to the rows by the set
     labels = nodes.join(found, "node", "left").select("sig", "label", F.coalesce("component", "node").alias("component"))

@@ -27,23 +27,23 @@ BATCH_ROWS = 1_000
 _BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def write_table(df: DataFrame, path: str) -> None:
-    """Write `df` as Parquet, its Python parts in batches of `BATCH_ROWS`; the session's own setting is put back."""
+def write_table(df: DataFrame, path: str, batch_rows: int = BATCH_ROWS) -> None:
+    """Write `df` as Parquet, its Python parts in batches of `batch_rows`; the session's own setting is put back."""
     conf = df.sparkSession.conf
     usual = conf.get(_BATCH_CONF)
-    conf.set(_BATCH_CONF, str(BATCH_ROWS))
+    conf.set(_BATCH_CONF, str(batch_rows))
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         conf.set(_BATCH_CONF, usual)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, batch_rows: int = BATCH_ROWS) -> DataFrame:
     """Write `df` once as Parquet into the shared folder and return the table read back.
 
     The plan above starts from files that outlive any executor, and what made them runs once however often it is read.
     """
     spark = df.sparkSession
     path = new_folder(spark, name)
-    write_table(df, path)
+    write_table(df, path, batch_rows)
     return spark.read.schema(df.schema).parquet(path)
