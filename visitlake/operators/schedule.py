@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..schemas import APPOINTMENT_STATUSES
 from .running import Run, run_sum, running
+from .upsert import upsert_by_key
 
 CLOSED = "closed"
 
@@ -256,6 +257,29 @@ def leave_counts(plan: DataFrame) -> DataFrame:
     return plan.groupBy("doctor_id").agg(F.count_if(F.col("action") == "close").alias("closed"), F.count_if(F.col("action") == "keep").alias("booked"))
 
 
+def leave_rows(plan: DataFrame, now: Column) -> DataFrame:
+    """The rows to write for a leave, from `leave_plan`: one closed booking without a patient for each free slot.
+
+    The key follows from the slot (its negative number), so a plan written twice, or a slot closed again after it was reopened, replaces
+    its own row.
+    """
+    return plan.where(F.col("action") == "close").select((-F.col("slot_id")).alias("booking_id"), "slot_id", "doctor_id", "slot_start", F.to_date("slot_start").alias("slot_date"),
+                                                         F.lit(None).cast("long").alias("patient_id"), F.lit(CLOSED).alias("status"), now.alias("created_at"))
+
+
+def reopen_rows(bookings: DataFrame, first: Column, last: Column, now: Column) -> DataFrame:
+    """The rows to change when a range is reopened: its closed bookings, cancelled now."""
+    return bookings.where((F.col("status") == CLOSED) & F.col("slot_date").between(first, last)).withColumns({"status": F.lit("cancelled"), "cancelled_at": now})
+
+
+def write_rows(bookings: DataFrame, rows: DataFrame) -> DataFrame:
+    """The bookings after rows were written: by key, and a closed row only where no other booking holds the slot, as a patient may have
+    been faster. Writing the same rows twice changes nothing."""
+    held = bookings.where((F.col("status") != "cancelled") & (F.col("booking_id") >= 0)).select("slot_id").distinct().withColumn("__held", F.lit(True))
+    fit = rows.join(held, "slot_id", "left").where(F.col("__held").isNull() | (F.col("status") != CLOSED)).drop("__held")
+    return upsert_by_key(bookings, fit, ["booking_id"]).select(*bookings.columns)
+
+
 def reopen(bookings: DataFrame, first: Column, last: Column) -> DataFrame:
     """All bookings after reopening a range: closed rows in it become cancelled, appointments are untouched."""
     hit = (F.col("status") == CLOSED) & F.col("slot_date").between(first, last)

@@ -230,6 +230,14 @@ def leave_counts(spark, sf):
     return schedule.leave_counts(schedule.leave_plan(V.slots(spark, sf), V.bookings(spark, sf), day("1999-03-25"), day("1999-05-20"), V.now()))
 
 
+@query("leave_rows", with_views(["slots", "bookings"], f"""
+SELECT -s.slot_id AS booking_id, s.slot_id, s.doctor_id, 'closed' AS status, {time_text('s.slot_start', 'slot_start')}
+FROM {HOLDERS} WHERE s.slot_date BETWEEN DATE '1999-03-25' AND DATE '1999-05-20' AND s.slot_start > {NOW_SQL} AND b.booking_id IS NULL"""))
+def leave_rows(spark, sf):
+    plan = schedule.leave_plan(V.slots(spark, sf), V.bookings(spark, sf), day("1999-03-25"), day("1999-05-20"), V.now())
+    return schedule.leave_rows(plan, V.now()).select("booking_id", "slot_id", "doctor_id", "status", "slot_start")
+
+
 @query("leave_reopen", with_views(["bookings"], f"""
 SELECT status, {big('count(*)', 'n')} FROM (SELECT CASE WHEN status = 'closed' AND slot_date BETWEEN DATE '1999-03-25' AND DATE '1999-05-20'
   THEN 'cancelled' ELSE status END AS status FROM bookings) GROUP BY 1"""))

@@ -1,6 +1,12 @@
 """Readers with explicit schemas: appointment CSV, ARFF, consultation CSV, operational tables, file fingerprints."""
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from urllib.parse import quote
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,10 +78,31 @@ def read_jdbc(spark: SparkSession, url: str, table: str, column: str | None = No
     return reader.load()
 
 
-def fingerprints(spark: SparkSession, path: str) -> DataFrame:
-    """path, bytes and sha256 of each file; each file is hashed by one task and must fit in it (below 2 GB)."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+#: bytes of a file that are read at a time
+SLICE_BYTES = 8 << 20
+
+
+def fingerprints(spark: SparkSession, path: str, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """path, bytes and sha256 of each file, whatever its size: one task a file feeds the hash in slices.
+
+    Spark lists the files, without empty ones; tasks open them by their URI through Arrow's file systems (local, HDFS, S3, GCS).
+    """
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for name in batch.column(0).to_pylist():
+                local = name.startswith("file:")
+                store, inside = (fs.LocalFileSystem(), name.removeprefix("file:")) if local else fs.FileSystem.from_uri(quote(name, safe=":/"))
+                state = hashlib.sha256()
+                with store.open_input_stream(inside) as source:
+                    while piece := source.read(slice_bytes):
+                        state.update(piece)
+                found.append(state.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string())], names=["path", "bytes", "sha256"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"))
+    # a partition for each file, as far as the hash of its path deals them apart
+    return files.repartition(max(1, files.count()), "path").mapInArrow(digest, "path string, bytes long, sha256 string")
 
 
 def describe_files(df: DataFrame) -> DataFrame:

@@ -83,6 +83,37 @@ def standby_notices(changes: DataFrame, standby: DataFrame) -> DataFrame:
             .select("standby_id", "patient_id", "doctor_id", "slot_date", "slot_id", "slot_start"))
 
 
+STANDBY_OUT = "doctor_id long, slot_date date, slot_id long, patient_id long, place int, at_us long, event_id long"
+
+
+def standby_stream(events: DataFrame) -> DataFrame:
+    """The notices of a stream of events, with the waiting list of each doctor and day kept as state.
+
+    events(doctor_id long, slot_date date, kind string, patient_id long, slot_id long, at_us long, event_id long). `join` puts a patient on
+    the list once, `leave` and `booked` take them off, `freed` tells everyone on it, in the order they joined; they stay on the list. Of
+    one moment, events go by event_id. A list without patients has no state. Unknown kinds change nothing.
+    """
+
+    def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        waiting: list[int] = json.loads(state.get[0]) if state.exists else []
+        rows = pd.concat(list(chunks)).sort_values(["at_us", "event_id"])  # one doctor's day in one micro-batch
+        told = []
+        for kind, patient, slot, at, event in zip(rows["kind"], rows["patient_id"], rows["slot_id"], rows["at_us"], rows["event_id"]):
+            if kind == "join" and int(patient) not in waiting:
+                waiting.append(int(patient))
+            elif kind in ("leave", "booked") and patient == patient and int(patient) in waiting:
+                waiting.remove(int(patient))
+            elif kind == "freed":
+                told += [(key[0], key[1], int(slot), p, place, int(at), int(event)) for place, p in enumerate(waiting, 1)]
+        if waiting:
+            state.update((json.dumps(waiting),))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(told, columns=[c.split()[0] for c in STANDBY_OUT.split(", ")])
+
+    return events.groupBy("doctor_id", "slot_date").applyInPandasWithState(step, STANDBY_OUT, "waiting string", "append", GroupStateTimeout.NoTimeout)
+
+
 # ---- scoring after the booking ------------------------------------------------------------------------------------
 def start_scoring(bookings: DataFrame, features: Callable[[DataFrame], DataFrame], score: Callable[[DataFrame], DataFrame], out: str,
                   checkpoint: str, version: str):
