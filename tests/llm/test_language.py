@@ -1,6 +1,10 @@
+import random
+
+import zstandard
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from visitlake.llm import language
 from visitlake.llm.language import fit_dictionaries, identify
 
 SF = "/root/testdata/sf0.01"
@@ -27,3 +31,58 @@ def test_odd_rows(spark, odd_docs, no_docs, clashing):
     assert {r.lang_pred for r in identify(odd_docs, {}).collect()} == {"und"}
     assert fit_dictionaries(no_docs) == {}
     assert {r.score for r in identify(odd_docs.where("text like 'same%'"), {"en": b"same text"}).collect()} == {1.0}
+
+
+def plain(text, dictionaries):
+    """Language and margin by compressing with every dictionary, coder by coder."""
+    names, raw = sorted(dictionaries), text.lower().encode()
+
+    def sizes(pieces, level, **own):
+        out = []
+        for name in names:
+            content = zstandard.ZstdCompressionDict(dictionaries[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            how = zstandard.ZstdCompressionParameters.from_level(level, source_size=2_048, dict_size=len(dictionaries[name]), write_content_size=False, write_dict_id=False, **own)
+            out.append(sum(len(zstandard.ZstdCompressor(dict_data=content, compression_params=how).compress(p)) for p in pieces))
+        return out
+
+    def judge(found):
+        first, second = sorted(found)[:2]
+        return names[found.index(first)], (second - first) / second
+
+    pieces = [raw[i:i + 2_048] for i in range(0, len(raw), 2_048)]
+    usual = sizes(pieces, 7)
+    if judge(usual)[1] >= 0.005:
+        return judge(usual)
+    return judge([a + b for a, b in zip(usual, sizes([(b" " + raw) * 8] if len(raw) < 128 else pieces, 3, min_match=3))])
+
+
+def test_predictions_equal_plain_compression(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    dictionaries = fit_dictionaries(docs.where("doc_id % 2 = 0"))
+    for row in identify(docs.where("text RLIKE '[A-Za-z]'"), dictionaries).collect():
+        name, margin = plain(row["text"], dictionaries)
+        assert (row["lang_pred"], row["accepted"]) == (name, margin >= language.MIN_MARGIN) and abs(row["score"] - margin) < 1e-12
+
+
+def made(rng, letters, words):
+    return " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 8))) for _ in range(words))
+
+
+def test_banners_and_copies_do_not_fill_a_dictionary(spark):
+    """Texts that begin alike give pieces from all over; a language of many copies gives as much as the same texts once."""
+    rng = random.Random(1)
+    own = [made(rng, "abcde", 300) for _ in range(300)]
+    banner = "the same banner on every page " * 40
+    learned = fit_dictionaries(spark.createDataFrame([(banner + t, "x") for t in own], "text string, lang string"))["x"]
+    assert learned.decode().count("banner") < len(learned) / 30 * 0.7
+    texts = [made(rng, "fghij", 120) for _ in range(100)]
+    once = fit_dictionaries(spark.createDataFrame([(t, "y") for t in texts], "text string, lang string"))["y"]
+    often = fit_dictionaries(spark.createDataFrame([(t, "y") for t in texts for _ in range(60)], "text string, lang string"))["y"]
+    assert len(once) == len(often) and once == often
+
+
+def test_any_number_of_languages(spark, monkeypatch):
+    monkeypatch.setattr(language, "TOTAL_BYTES", 100_000)
+    rows = spark.range(6_000).selectExpr("concat('word', id % 700, ' of language ', id % 700, ' text ', id) AS text", "concat('l', id % 700) AS lang")
+    found = fit_dictionaries(rows)
+    assert len(found) == 700 and all(0 < len(d) <= 256 for d in found.values())

@@ -7,8 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: bounds of the labelled sample: rows asked of each language, bytes of its dictionary, and languages
-SAMPLE_ROWS, DICTIONARY_BYTES, MAX_LANGUAGES = 400, 96 * 1024, 500
+#: bounds of the labelled sample: distinct texts asked of each language, bytes of its dictionary, and bytes of all dictionaries, which
+#: many languages share evenly
+SAMPLE_ROWS, DICTIONARY_BYTES, TOTAL_BYTES = 400, 96 * 1024, 48 * 1024 * 1024
 #: a text is compressed in pieces of this many bytes, each against the dictionary alone, so long texts are not their own dictionary
 PIECE_BYTES = 2_048
 LEVEL = 7
@@ -23,22 +24,27 @@ UNKNOWN = "und"
 
 def fit_dictionaries(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS,
                      size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
-    """Raw-content dictionaries by language, from the bounded sample of each language's texts with the smallest hashes.
+    """Raw-content dictionaries by language, from a bounded sample of each language's distinct texts, drawn by their hashes.
 
-    About `sample_rows` distinct texts of each language are read, at least all that a small language has; they share the `size` bytes
-    evenly. Rows with NULL text or language are not used.
+    About `sample_rows` distinct texts of each language are drawn, at least nearly all that a small language has, however many copies
+    they have. Each gives a piece of up to 2 * `size` / `sample_rows` characters (256 at least) from a place that its hash names, so texts that begin alike
+    give different pieces; the pieces share the `size` bytes. With many languages each gets less, so that all dictionaries together
+    keep to `TOTAL_BYTES` (256 bytes each at least). Rows with NULL text or language are not used.
     """
     rows = labelled.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang")).where("text is not null and lang is not null")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not counts:
+    # a row for each language; the counts only set how many texts are drawn
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text"), 0.02).alias("n"))
+    languages = counts.count()
+    if not languages:
         return {}
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, sample_rows / n))])
-    chance = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) / 1_000_000
+    size = max(256, min(size, TOTAL_BYTES // languages))
     piece = max(256, 2 * size // sample_rows)
-    sample = rows.where(chance < F.element_at(share, F.col("lang"))).select("lang", chance.alias("chance"), F.substring("text", 1, piece).alias("text"))
-    held: dict[str, list[tuple[float, str]]] = {lang: [] for lang in counts}
+    asked = max(8, min(sample_rows, 2 * size // piece))
+    share = counts.select("lang", F.least(F.lit(1.0), F.lit(float(asked)) / F.greatest("n", F.lit(1))).alias("share"))
+    chance = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) / 1_000_000
+    start = 1 + F.pmod(F.xxhash64(F.lit(1), "text"), F.greatest(F.lit(1), F.char_length("text") - piece + 1))
+    sample = rows.join(F.broadcast(share), "lang").where(chance < F.col("share")).select("lang", chance.alias("chance"), F.substr("text", start.cast("int"), F.lit(piece)).alias("text"))
+    held: dict[str, list[tuple[float, str]]] = {row["lang"]: [] for row in counts.select("lang").collect()}
     for row in sample.distinct().collect():
         held[row["lang"]].append((row["chance"], row["text"]))
     return {lang: "\n".join(t for _, t in sorted(texts)).lower().encode()[:size] for lang, texts in sorted(held.items())}
@@ -48,7 +54,9 @@ def language_columns(text: Column, dictionaries: dict[str, bytes], min_margin: f
     """A struct lang_pred, score, accepted.
 
     The whole text, lower-cased, is compressed against every dictionary and the smallest total wins, the first in alphabetical order among equals.
-    The score is the margin: how much larger the runner-up is, as a share of it. A margin below `min_margin` is rejected.
+    The score is the margin: how much larger the runner-up is, as a share of it. Where it is below `min_margin`, the sizes under a second
+    coder are added, which also finds matches of three bytes; texts below `SHORT_BYTES`, which it would store as they are, are repeated
+    eight times for it. What is still below `min_margin` is rejected.
     """
     names = sorted(dictionaries)
     shared = [dictionaries[n] for n in names]
