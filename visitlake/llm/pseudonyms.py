@@ -13,12 +13,16 @@ _DAY_SIDES = (17, 4_297)
 #: what a candidate looks like; whether it is valid is decided afterwards
 PATTERNS = {
     "email": r"[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "phone": r"(?<![\d+])\+\d{1,3}[ .-]?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\d)+])\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)"
-             r"|(?<![\d+])\+\d{1,3}(?:[ .-]\d{3}){2}[ .-]\d{4}(?!\d)",
-    "card": r"(?<![\d.-])(?:\d{4}[ -]){3}\d{4}(?![\d-])|(?<![\d.-])\d{13,19}(?![\d-])",
+    # (ddd) with or without a country code; country code and groups; ten digits by - or .; a country code and digits alone
+    "phone": r"(?<![\d+])\+\d{1,3}[ .-]?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\d)+])\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}(?!\d)"
+             r"|(?<![\d+])\+\d{1,3}[ .-]\d{2,4}[ .-]\d{3,4}[ .-]\d{4}(?!\d)|(?<![\d+.-])\d{3}-\d{3}-\d{4}(?![\d-])|(?<![\d+.-])\d{3}\.\d{3}\.\d{4}(?!\d|\.\d)"
+             r"|(?<![\d+])\+\d{11,15}(?!\d)",
+    # groups of four, groups of 4, 6 and 5, or 13 to 19 digits alone
+    "card": r"(?<![\d.-])(?:\d{4}[ -]){3}\d{4}(?![\d-])|(?<![\d.-])\d{4}[ -]\d{6}[ -]\d{5}(?![\d-])|(?<![\d.-])\d{13,19}(?![\d-])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)",
-    "date": r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-])|(?<![\d/.])\d{2}([/.])\d{2}\1\d{4}(?![\d/])",
+    # year first by -, or last by / or .; days and months with one or two digits
+    "date": r"(?<![\d-])\d{4}-\d{1,2}-\d{1,2}(?![\d-])|(?<![\d/.])\d{1,2}([/.])\d{1,2}\1\d{4}(?![\d/])",
 }
 KINDS = tuple(PATTERNS)
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -106,7 +110,7 @@ def _card(found: Column, secret: str, back: bool) -> Column:
 
 
 def _phone(found: Column, secret: str, back: bool) -> Column:
-    """The ten national digits are permuted, the country code stays."""
+    """The last ten digits are permuted, what is before them of the country code stays."""
     def moved(d: Column) -> Column:
         national = _permute_digits(F.substr(d, F.char_length(d) - 9), secret, "phone", back)
         return let(F.concat(F.substr(d, F.lit(1), F.char_length(d) - 10), national), lambda new: _put_digits(found, new))
@@ -139,18 +143,23 @@ def _ip(found: Column, secret: str, back: bool) -> Column:
 
 
 def _date(found: Column, secret: str, back: bool) -> Column:
-    """ISO, or day and month before the year; where day first is no date, month first is tried."""
-    separator = F.substring(found, 3, 1)
-    iso = F.try_to_timestamp(found, F.lit("yyyy-MM-dd")).cast("date")
-    day_first = F.try_to_timestamp(F.translate(found, ".", "/"), F.lit("dd/MM/yyyy")).cast("date")
-    month_first = F.try_to_timestamp(F.translate(found, ".", "/"), F.lit("MM/dd/yyyy")).cast("date")
+    """Year first, or day and month before the year; where day first is no date, month first is tried. A date with a one-digit part gets
+    a pseudonym without leading zeros."""
+    slashed = F.translate(found, ".", "/")
+    iso = F.try_to_timestamp(found, F.lit("yyyy-M-d")).cast("date")
+    day_first = F.try_to_timestamp(slashed, F.lit("d/M/yyyy")).cast("date")
+    month_first = F.try_to_timestamp(slashed, F.lit("M/d/yyyy")).cast("date")
+    padded = F.char_length(found) == 10
     day = F.datediff(F.coalesce(iso, day_first, month_first), F.lit(FIRST_DAY).cast("date")).cast("bigint")
     moved = feistel(day, *[F.lit(n).cast("bigint") for n in _DAY_SIDES], secret, "date", back)
 
     def shaped(date: Column) -> Column:
-        text = (F.when(iso.isNotNull(), F.date_format(date, "yyyy-MM-dd"))
-                .when(day_first.isNotNull(), F.date_format(date, "dd/MM/yyyy")).otherwise(F.date_format(date, "MM/dd/yyyy")))
-        return F.when(separator == ".", F.translate(text, "/", ".")).otherwise(text)
+        def either(long: str, short: str) -> Column:
+            return F.when(padded, F.date_format(date, long)).otherwise(F.date_format(date, short))
+
+        text = (F.when(iso.isNotNull(), either("yyyy-MM-dd", "yyyy-M-d"))
+                .when(day_first.isNotNull(), either("dd/MM/yyyy", "d/M/yyyy")).otherwise(either("MM/dd/yyyy", "M/d/yyyy")))
+        return F.when(found.contains("."), F.translate(text, "/", ".")).otherwise(text)
 
     return F.when(day.between(0, DAYS - 1), let(F.date_add(F.lit(FIRST_DAY).cast("date"), moved.cast("int")), shaped))
 
@@ -187,7 +196,11 @@ def pseudonymise(docs: DataFrame, secret: str, text_col: str = "text", back: boo
     among the valid values of the same format: separators stay, check digits hold, dates remain dates from 1900 to 2099. Equal values
     get equal pseudonyms in every document, different ones different pseudonyms. Mail addresses become keyed names. Candidates that
     fail their check stay as they are. `start` counts characters of the new text. `back` restores all but mail addresses and dates
-    that put the month first.
+    that put the month first; of a date with a one-digit part it restores the day, but perhaps not whether zeros lead.
+
+    Accepted formats: phones with the area code in parentheses, with a country code and groups, as ten digits by hyphens or dots, or as
+    + and 11 to 15 digits; cards of 13 to 19 digits, alone, in fours, or in groups of 4, 6 and 5; dates with the year first (-) or last
+    (/ or .); social security numbers with hyphens; dotted IPv4 addresses. The comments at `PATTERNS` say the same of each.
 
     NULL and empty texts stay and have an empty `pii`; a text may be of any length. A column named pii is replaced, others stay.
     """
