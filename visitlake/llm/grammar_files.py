@@ -19,7 +19,9 @@ from visitlake.llm.tokens import END_ID, codec
 #: ids in a block, which bounds a task's memory together with the longest document
 BLOCK_TOKENS = 2_000_000
 #: pairs rarer than MIN_COUNT are left alone; the least count of a round is that of the round before divided by SLACK
-MIN_COUNT, SLACK, FINAL_ROUNDS = 32, 8, 2
+MIN_COUNT, SLACK = 32, 8
+#: slots in which pairs are counted; where no slot has a frequent pair, pairs are counted one by one
+SLOTS = 1 << 19
 #: symbols are stored in 16 bits, so ids and nonterminals together stay below this where the vocabulary does
 SYMBOLS = 1 << 16
 _HEADER = struct.Struct("<4sIIIIII")
@@ -63,40 +65,61 @@ def re_pair(ids: np.ndarray, ends: np.ndarray, base: int, end_id: int, min_count
 
     `ids` are documents one after the other, each closed by `end_id`; a pair with that id is never replaced, so no rule crosses from
     one document into the next. A round counts all pairs, takes every pair that is frequent enough for it, and replaces their
-    occurrences from left to right without overlap. The count asked for falls from round to round; the last rounds take every pair
-    that occurs `min_count` times, as long as symbols are left.
+    occurrences from left to right without overlap. The count asked for falls from round to round to `min_count`, and rounds go on until
+    no pair occurs `min_count` times or no symbol is left.
     """
     seq = ids.astype(np.uint32)
     left, right, rounds, n = [], [], [], base
     limit = max(max_symbols, base)
-    spokesman = np.zeros((1 << 19) + 1, np.uint64)
-    least, last = None, FINAL_ROUNDS
-    while n < limit and len(seq) > 1 and last > 0:
-        a, b = seq[:-1], seq[1:]
-        slot = ((a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA6B))) >> np.uint32(13)
-        slot[(a == end_id) | (b == end_id)] = 1 << 19
-        counts = np.bincount(slot, minlength=(1 << 19) + 1)
-        counts[1 << 19] = 0
-        least = max(min_count, (int(counts.max()) if least is None else least) // SLACK)
-        places = np.flatnonzero(counts[slot] >= least)
-        own = slot[places]
-        pair = a[places].astype(np.uint64) << np.uint64(32) | b[places]
-        spokesman[own] = pair  # of pairs that share a slot the last one speaks for it in this round
-        same = spokesman[own] == pair
-        places, own = places[same], own[same]
-        exact = np.bincount(own, minlength=1)
+    spokesman = np.zeros(SLOTS + 1, np.uint64)
+    least, newest, whole = None, n, True
+    while n < limit and len(seq) > 1:
+        if whole:
+            a, b = seq[:-1], seq[1:]
+            # other slots in every round: a pair that shares its slot with a commoner one has its own in a later round
+            slot = ((a * np.uint32(0x9E3779B1 + 2 * len(rounds))) ^ (b * np.uint32(0x85EBCA6B))) >> np.uint32(13)
+            slot[(a == end_id) | (b == end_id)] = SLOTS
+            counts = np.bincount(slot, minlength=SLOTS + 1)
+            counts[SLOTS] = 0
+            least = max(min_count, (int(counts.max()) if least is None else least) // SLACK)
+            places = np.flatnonzero(counts[slot] >= least)
+            own = slot[places]
+            pair = a[places].astype(np.uint64) << np.uint64(32) | b[places]
+            spokesman[own] = pair  # of pairs that share a slot the last one speaks for it in this round
+            speaks, same = spokesman, spokesman[own] == pair
+            exact = np.bincount(own[same], minlength=1)
+        else:
+            # what a round at the least count leaves: as a rule only pairs with one of its new symbols are frequent now
+            fresh = np.flatnonzero(seq >= newest)
+            places = np.unique(np.concatenate([fresh - 1, fresh]))
+            places = places[(places >= 0) & (places < len(seq) - 1)]
+            a, b = seq[places], seq[places + 1]
+            kept = (a != end_id) & (b != end_id)
+            places, pair = places[kept], a[kept].astype(np.uint64) << np.uint64(32) | b[kept]
+            speaks, own = np.unique(pair, return_inverse=True)
+            same, exact = np.ones(len(own), bool), np.bincount(own, minlength=1)
         chosen = np.flatnonzero(exact >= least)
-        chosen = chosen[np.argsort(-exact[chosen], kind="stable")][:limit - n]
-        last -= least == min_count
-        if not len(chosen):
-            if last <= 0:
+        if not len(chosen) and least == min_count:
+            if not whole:
+                whole = True
+                continue
+            if same.all():
+                break
+            speaks, own = np.unique(pair, return_inverse=True)
+            same, exact = np.ones(len(own), bool), np.bincount(own)
+            chosen = np.flatnonzero(exact >= least)
+            if not len(chosen):
                 break
+        if not len(chosen):
             continue
+        newest, whole = n, least > min_count
+        places, own = places[same], own[same]
+        chosen = chosen[np.argsort(-exact[chosen], kind="stable")][:limit - n]
         number = np.full(len(exact), -1)
         number[chosen] = np.arange(len(chosen))
         rule = number[own]
         places, rule = places[rule >= 0], rule[rule >= 0]
-        pairs = spokesman[chosen]
+        pairs = speaks[chosen]
         first = np.concatenate([[True], np.diff(places) > 1])  # of a run of overlapping occurrences every second one is taken
         taken = (np.arange(len(places)) - np.maximum.accumulate(np.where(first, np.arange(len(places)), 0))) % 2 == 0
         places, rule = places[taken], rule[taken]
