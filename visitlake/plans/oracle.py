@@ -41,6 +41,14 @@ VIEWS = {
         UNION ALL SELECT booking_id, slot_start, 2, status, epoch_us(created_at) + (booking_id % 60) * 86400000000 FROM bookings
           WHERE status NOT IN ('confirmed', 'closed')
         UNION ALL SELECT booking_id, slot_start, 3, 'completed', epoch_us(slot_start) + 1800000000 FROM bookings WHERE booking_id % 7 = 0)""",
+    "coded0": """SELECT CAST(l_suppkey % 9 AS BIGINT) AS specialty, CAST(o_custkey % 125 - 5 AS BIGINT) AS age, CASE WHEN o_custkey % 2 = 0 THEN 'M' ELSE 'F' END AS sex,
+        month(l_shipdate) AS appt_month, isodow(l_shipdate) - 1 AS appt_weekday, CAST(5 + l_orderkey % 18 AS BIGINT) AS appt_hour,
+        month(o_orderdate) AS booked_month, isodow(o_orderdate) - 1 AS booked_weekday, CAST(6 + 2 * l_linenumber AS BIGINT) AS booked_hour,
+        CAST(CAST(l_shipdate AS DATE) - CAST(o_orderdate AS DATE) - 5 AS BIGINT) AS lead_days, CAST(1 + l_linenumber % 3 AS BIGINT) AS channel,
+        CAST(1 + l_orderkey % 2 AS BIGINT) AS appt_type, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS no_show
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag IN ('R', 'A')""",
+    "consultations0": """SELECT CAST(user_id AS VARCHAR) AS patient_code, strftime(ts, '%Y-%m-%d') AS session, CASE WHEN hour(ts) < 12 THEN 'AM' ELSE 'PM' END AS am_pm,
+        CAST(event_id % 50 AS INTEGER) AS visit_no, CASE WHEN event_type <> 'error' THEN floor(value * 300) END AS service_seconds FROM events""",
     "raw_visits": """SELECT l_orderkey AS appointment_id,
         CAST(o_custkey AS DOUBLE) + CASE WHEN l_quantity = 50 THEN 0.5 ELSE 0.0 END AS patient_id,
         CASE WHEN o_custkey % 2 = 0 THEN 'F' ELSE 'M' END AS sex, o_orderdate AS scheduled_at, l_shipdate AS appointment_date,

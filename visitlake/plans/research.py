@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import cleaning, features, history, profile, risk, splits
+from ..schemas import OPENML_NAMES
 from . import views as V
 from .catalog import query
 from .oracle import band, big, day_text, mix, num, t_975, time_text, wilson, with_views
@@ -278,3 +279,43 @@ SELECT event_id, user_id, event_type FROM a JOIN b USING (i)""")
 def shuffled_labels(spark, sf):
     e = V.table(spark, sf, "events").select("event_id", "user_id", "event_type")
     return splits.shuffled_labels(e, "event_type", "event_id")
+
+
+# ---- coded visits and consultations ------------------------------------------------------------------------------
+_CODED_TEXT = "specialty, age, sex, appt_month, appt_weekday, appt_hour, booked_month, booked_weekday, booked_hour, lead_days, channel, appt_type, no_show"
+
+
+@query("clean_coded", with_views(["coded0"], f"SELECT DISTINCT {_CODED_TEXT} FROM coded0 WHERE lead_days >= 0 AND age BETWEEN 0 AND 110"))
+def clean_coded(spark, sf):
+    return cleaning.clean_coded(V.raw_coded(spark, sf), OPENML_NAMES)
+
+
+@query("coded_log", with_views(["coded0"], """
+WITH c AS (SELECT count(*) AS n0, count(*) FILTER (lead_days >= 0) AS n1, count(*) FILTER (lead_days >= 0 AND age BETWEEN 0 AND 110) AS n2 FROM coded0),
+u AS (SELECT count(*) AS n3, count(*) FILTER (appt_hour < 7 OR appt_hour > 21) AS late FROM (SELECT DISTINCT * FROM coded0 WHERE lead_days >= 0 AND age BETWEEN 0 AND 110))
+SELECT 'coded' AS dataset, 1 AS step, 'drop_negative_lead_days' AS rule, 'drop' AS kind, n0 AS rows_before, n1 AS rows_after, n0 - n1 AS rows_changed FROM c
+UNION ALL SELECT 'coded', 2, 'drop_impossible_age', 'drop', n1, n2, n1 - n2 FROM c
+UNION ALL SELECT 'coded', 3, 'drop_exact_duplicates', 'drop', n2, n3, n2 - n3 FROM c, u
+UNION ALL SELECT 'coded', 4, 'report_hours_outside_clinic_hours', 'report', n3, n3, late FROM u"""))
+def coded_log(spark, sf):
+    return cleaning.coded_log(V.raw_coded(spark, sf), OPENML_NAMES, "coded")
+
+
+_SERVED = "service_seconds > 0 AND service_seconds <= 14400"
+
+
+@query("clean_consultations", with_views(["consultations0"], f"""
+SELECT patient_code, session, am_pm, visit_no, CAST(service_seconds AS BIGINT) AS service_seconds, {num('CAST(service_seconds AS BIGINT) / 60.0::DOUBLE', 'service_minutes')}
+FROM (SELECT DISTINCT * FROM consultations0 WHERE {_SERVED})"""))
+def clean_consultations(spark, sf):
+    return cleaning.clean_consultations(V.raw_consultations(spark, sf))
+
+
+@query("consultation_log", with_views(["consultations0"], f"""
+WITH c AS (SELECT count(*) AS n0, count(*) FILTER (service_seconds > 0) AS n1, count(*) FILTER ({_SERVED}) AS n2 FROM consultations0),
+u AS (SELECT count(*) AS n3 FROM (SELECT DISTINCT * FROM consultations0 WHERE {_SERVED}))
+SELECT 'consultations' AS dataset, 1 AS step, 'drop_missing_or_nonpositive_service_time' AS rule, 'drop' AS kind, n0 AS rows_before, n1 AS rows_after, n0 - n1 AS rows_changed FROM c
+UNION ALL SELECT 'consultations', 2, 'drop_service_time_above_limit', 'drop', n1, n2, n1 - n2 FROM c
+UNION ALL SELECT 'consultations', 3, 'drop_exact_duplicates', 'drop', n2, n3, n2 - n3 FROM c, u"""))
+def consultation_log(spark, sf):
+    return cleaning.consultation_log(V.raw_consultations(spark, sf), "consultations")

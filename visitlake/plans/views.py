@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..schemas import TABLES
+from ..schemas import OPENML_NAMES, TABLES
 
 CALENDAR_START = "1999-01-01"
 CALENDAR_DAYS = 180
@@ -168,3 +168,26 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.to_date(ts).alias("day"), F.floor(F.hour(ts) / 12).cast("int").alias("half_day"), C.micros(ts).alias("at_us"), "event_id",
         ((F.hour(ts) % 12 * 60 + F.minute(ts)) * F.lit(1.0)).alias("arrival"), F.col("value").alias("service"),
         (F.col("event_type") != "error").alias("attends"), ((F.col("event_id") * 7919 % 1000) / F.lit(1000.0)).alias("risk"))
+
+
+def raw_coded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coded visits as their file has them, by the file's column names: no patient id, sex as 1 and 2, weekdays from 1."""
+    li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    rows = li.join(o, li.l_orderkey == o.o_orderkey).where(F.col("l_returnflag").isin("R", "A"))
+    values = {
+        "specialty": F.col("l_suppkey") % 9, "age": F.col("o_custkey") % 125 - 5, "sex": 1 + F.col("o_custkey") % 2,
+        "appt_month": F.month("l_shipdate"), "appt_weekday": 1 + C.weekday(F.to_date("l_shipdate")), "appt_hour": 5 + F.col("l_orderkey") % 18,
+        "booked_month": F.month("o_orderdate"), "booked_weekday": 1 + C.weekday(F.to_date("o_orderdate")), "booked_hour": 6 + 2 * F.col("l_linenumber"),
+        "lead_days": F.datediff(F.to_date("l_shipdate"), F.to_date("o_orderdate")) - 5, "channel": 1 + F.col("l_linenumber") % 3, "appt_type": 1 + F.col("l_orderkey") % 2,
+    }
+    raw_name = {new: old for old, new in OPENML_NAMES.items()}
+    return rows.select(*[v.cast("double").alias(raw_name[k]) for k, v in values.items()], F.cos(F.col("l_orderkey") % 18).alias("reserva_hora_c"),
+                       F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("no_show"))
+
+
+def raw_consultations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Consultations with their service time, missing for errors, of sessions of half a day."""
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("patient_code"), F.date_format("ts", "yyyy-MM-dd").alias("session"),
+        F.when(F.hour("ts") < 12, "AM").otherwise("PM").alias("am_pm"), (F.col("event_id") % 50).cast("int").alias("visit_no"),
+        F.when(F.col("event_type") != "error", F.floor(F.col("value") * 300)).cast("double").alias("service_seconds"))

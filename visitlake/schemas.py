@@ -15,18 +15,6 @@ TABLES = {
     "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
 }
 
-# operational tables of a clinic
-OPERATIONAL = {
-    "users": "id int, name string, email string, role string, created_at timestamp_ntz",
-    "patient_profiles": "id int, user_id int, date_of_birth date, sex string",
-    "doctors": "id int, user_id int, specialization string, slot_minutes int",
-    "slots": "id int, doctor_id int, slot_date date, slot_start timestamp_ntz",
-    "bookings": ("id int, slot_id int, patient_id int, status string, reason string, created_at timestamp_ntz, "
-                 "cancelled_at timestamp_ntz, cancelled_by int, confirmed_slot_id int"),
-    "risk_scores": "booking_id int, no_show_probability double, model_version string, scored_at timestamp_ntz",
-    "standby": "id int, patient_id int, doctor_id int, slot_date date, created_at timestamp_ntz",
-}
-
 # raw research files. The column names of the published files.
 KAGGLE_RAW = ("PatientId string, AppointmentID bigint, Gender string, ScheduledDay string, AppointmentDay string, "
               "Age int, Neighbourhood string, Scholarship int, Hipertension int, Diabetes int, Alcoholism int, "
@@ -54,8 +42,5 @@ HANGU_NAMES = {
 }
 
 # fixed vocabularies
-STATUSES = ("confirmed", "completed", "no_show", "cancelled", "closed")
 APPOINTMENT_STATUSES = ("confirmed", "completed", "no_show", "cancelled")
-ROLES = ("patient", "doctor", "admin")
-SEXES = ("F", "M")
 BANDS = ("low", "medium", "high")

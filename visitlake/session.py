@@ -47,6 +47,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     folder = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF, None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError(f"{CHECKPOINT_CONF} is unset: executors need a folder they all see")
         folder = "file://" + tempfile.mkdtemp(prefix="visitlake-")
         spark.conf.set(CHECKPOINT_CONF, folder)
     path = f"{folder.rstrip('/')}/visitlake-{name}-{uuid.uuid4().hex}"
