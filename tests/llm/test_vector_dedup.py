@@ -39,7 +39,10 @@ def test_graph_recall_in_tight_clusters():
     hub = rng.normal(size=32)
     vectors = np.concatenate([hub + 0.05 * rng.normal(size=(400, 32)), rng.normal(size=(2_000, 32)), np.repeat(rng.normal(size=(60, 32)), 6, axis=0) + 0.1 * rng.normal(size=(360, 32))])
     graph = Graph.load(Graph.build(np.arange(len(vectors)), vectors).dump())
-    q, at, _ = graph.audited(vectors, 0.9, 16, 0.99, 20)
+    beam = graph.audit(vectors, 0.9, 16, 0.99, 20)
+    q, at = graph.within(vectors, 0.9, beam)
+    parts = list(graph.slices(vectors, 0.9, beam))
+    assert sorted(zip(np.concatenate([p[0] for p in parts]).tolist(), np.concatenate([p[1] for p in parts]).tolist())) == sorted(zip(q.tolist(), at.tolist()))
     u = unit(vectors)
     truth = u @ u.T >= 0.9
     found = np.zeros_like(truth)
@@ -86,3 +89,23 @@ def test_forest_keeps_components():
 
     assert parts(zip(a.tolist(), b.tolist())) == parts(zip(x.tolist(), y.tolist()))
     assert len(forest(np.empty(0, np.int64), np.empty(0, np.int64))[0]) == 0
+
+
+def test_a_tie_at_the_threshold_links(spark):
+    """(10, 0, 0, 0) and (9, 3, 3, 1) have length 10 and a cosine of exactly 0.9; one step less does not link."""
+    rows = [(1, [10.0, 0.0, 0.0, 0.0]), (2, [9.0, 3.0, 3.0, 1.0]), (3, [-10.0, 0.0, 0.0, 0.0]), (4, [-9.0, 3.0, 3.0, 1.001])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(df).collect()} == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (0, 4)}
+
+
+def test_a_tight_cluster_is_linked_slice_by_slice(monkeypatch):
+    """Every vector links with every other: the pairs come in slices that keep to the bound after the first, and none is lost."""
+    from visitlake.llm import small_world
+
+    monkeypatch.setattr(small_world, "PAIRS", 20_000)
+    rng = np.random.default_rng(2)
+    vectors = np.ones(16) + rng.normal(0, 0.01, (1_200, 16))
+    graph = Graph.build(np.arange(1_200), vectors)
+    beam = graph.audit(vectors, 0.9, 32, 0.995, 50)
+    sizes = [len(q) for q, _ in graph.slices(vectors, 0.9, beam)]
+    assert sum(sizes) == 1_200 ** 2 and max(sizes[1:]) <= 20_000 and sizes[0] <= small_world.FIRST_SLICE * 1_200

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import io
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,6 +11,8 @@ import numpy as np
 DEGREE, BUILD_BEAM = 12, 48
 #: nodes inserted, and queries of a narrow beam searched, together
 BLOCK = 512
+#: pairs that a task holds at a time, queries of its first slice, and audited queries compared with a whole shard at once
+PAIRS, FIRST_SLICE, AUDITED = 2_000_000, 64, 32
 #: each layer has about one node of so many of the layer below
 SHRINK = 24
 #: single precision finds candidates a little below the threshold, double precision decides
@@ -218,13 +221,19 @@ class Graph:
             todo, width = np.concatenate(again), min(4 * width, len(self.ids))
         return np.concatenate(found_q), np.concatenate(found_n)
 
-    def audited(self, queries: np.ndarray, threshold: float, beam: int, recall: float, every: int) -> tuple[np.ndarray, np.ndarray, int]:
-        """`within`, its beam doubled until the pairs found for every `every`-th query are at least `recall` of all, by brute force."""
+    def audit(self, queries: np.ndarray, threshold: float, beam: int, recall: float, every: int) -> int:
+        """The beam, doubled until the pairs found for every `every`-th query are at least `recall` of all, by brute force."""
         sample = np.arange(0, len(queries), every)
-        truth = np.count_nonzero(unit(queries[sample]) @ self.unit64.T >= threshold)
-        while True:
-            got, _ = self.within(queries[sample], threshold, beam)
-            if len(got) >= recall * truth or beam >= len(self.ids):
-                break
+        truth = sum(np.count_nonzero(unit(queries[sample[at:at + AUDITED]]) @ self.unit64.T >= threshold) for at in range(0, len(sample), AUDITED))
+        while beam < len(self.ids) and sum(len(got) for got, _ in self.slices(queries[sample], threshold, beam)) < recall * truth:
             beam *= 2
-        return *self.within(queries, threshold, beam), beam
+        return beam
+
+    def slices(self, queries: np.ndarray, threshold: float, beam: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """`within`, slice by slice of the queries; a slice is as long as its pairs are expected to keep to `PAIRS`."""
+        at, size = 0, FIRST_SLICE
+        while at < len(queries):
+            q, n = self.within(queries[at:at + size], threshold, beam)
+            yield q + at, n
+            at += size
+            size = int(max(FIRST_SLICE // 4, min(4 * size, PAIRS * size // max(1, len(q)))))

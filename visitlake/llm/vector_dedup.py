@@ -23,7 +23,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_
     Equal vectors are one node with a number of members, so a vector that is a third of the table is stored and asked once. Nodes are
     dealt to shards by hash; a shard's graph is built in one task and written. Every node is asked of every shard, in blocks; a block's
     beam is doubled until an audit of every `AUDIT_EVERY`-th query against brute force finds `RECALL` of the pairs. Pairs count if
-    their cosine in double precision is at least `threshold`. Links stay in the task: it returns how many members each query links to,
+    their cosine in double precision is at least `threshold`. Links stay in the task, a bounded slice of them at a time: it returns how many members each query links to,
     and a spanning forest of the links, from which the components are put together.
 
     NULL and zero vectors and those with NULL or non-finite components link with nothing: no links, their own component, kept.
@@ -58,12 +58,15 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_
         known = np.frombuffer(stored["nodes"].iloc[0], "<i8")
         members = np.frombuffer(stored["sizes"].iloc[0], "<i8")[np.searchsorted(known, graph.ids)]
         names = queries["node"].to_numpy(np.int64)
-        q, at, _ = graph.audited(np.array(queries["vector"].tolist(), np.float64), threshold, BEAM, RECALL, AUDIT_EVERY)
-        other = names[q] != graph.ids[at]
-        q, at = q[other], at[other]
-        links = np.bincount(q, weights=members[at], minlength=len(names)).astype(np.int64)
+        asked = np.array(queries["vector"].tolist(), np.float64)
+        beam = graph.audit(asked, threshold, BEAM, RECALL, AUDIT_EVERY)
+        links, a, b = np.zeros(len(names), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for q, at in graph.slices(asked, threshold, beam):
+            other = names[q] != graph.ids[at]
+            q, at = q[other], at[other]
+            links += np.bincount(q, weights=members[at], minlength=len(names)).astype(np.int64)
+            a, b = forest(np.concatenate([a, names[q]]), np.concatenate([b, graph.ids[at]]))  # no more edges than nodes
         some = np.flatnonzero(links)
-        a, b = forest(names[q], graph.ids[at])
         return pd.DataFrame({"node": np.concatenate([names[some], a]), "links": np.concatenate([links[some], np.zeros(len(a), np.int64)]),
                              "other": np.concatenate([names[some], b])})
 
