@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from visitlake.llm import grammar_files
 from visitlake.llm.grammar_files import Block, pack_block, re_pair, read_grammar_files, write_grammar_files
 from visitlake.llm.packing import configurations, cut_pieces, pack_documents, packing_plan, sequences
 from visitlake.llm.store import new_folder
@@ -125,3 +126,20 @@ def test_numbers_within_a_part(spark, vocabulary):
     docs = spark.range(500).select(F.col("id").alias("doc_id"), F.lit("same words").alias("text")).repartition(4)
     rows = cut_pieces(docs, vocabulary).collect()
     assert len({(r.part, r.length, r.nth) for r in rows}) == 500
+
+
+def test_rounds_end_when_no_pair_is_frequent():
+    """Copies of one text shrink to a few symbols each, and nothing that occurs often enough is left."""
+    rng = np.random.default_rng(3)
+    one = rng.integers(10, 40_000, 1_000)
+    copies = np.tile(np.append(one, 1), 1_999).astype(np.uint32)
+    mixed = np.concatenate([np.append(rng.integers(10, 200, rng.integers(1, 400)), 1) for _ in range(300)]).astype(np.uint32)
+    for ids in (copies, mixed):
+        grammar = grammar_files.re_pair(ids, np.flatnonzero(ids == 1) + 1, 49_000, 1)
+        flat, starts, sizes = grammar.expansions()
+        assert (grammar_files.gather(flat, starts, sizes, grammar.symbols)[0] == ids).all()
+        a, b = grammar.symbols[:-1].astype(np.uint64), grammar.symbols[1:].astype(np.uint64)
+        inside = (a != 1) & (b != 1)
+        _, often = np.unique((a << np.uint64(32) | b)[inside], return_counts=True)
+        assert not len(often) or often.max() < grammar_files.MIN_COUNT
+    assert len(grammar_files.re_pair(copies, np.flatnonzero(copies == 1) + 1, 49_000, 1).symbols) <= 2 * 1_999

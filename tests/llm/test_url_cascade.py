@@ -48,3 +48,10 @@ def test_cascade_is_exact_over_the_universe(spark):
     got = {r.key for r in frame.where(is_listed(levels, F.col("key"))).collect()}
     assert got == set(listed) - {"not in the corpus"}
     assert sum(level.bits for level in levels) < 300 * 64  # follows the list
+
+
+def test_very_long_urls(spark):
+    rules = [("block", "a.org", "/x"), ("allow", "org", "/")]
+    urls = ["http://a.org/x" + "y" * 500_000, "http://" + "b" * 100_000 + ".org/x", "http://a.org/" + "z" * 300_000 + "?x", "x" * 400_000]
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()}
+    assert got == {i: brute(u, rules) for i, u in enumerate(urls)} and [got[i][3] for i in range(4)] == ["block", "allow", "allow", "allow"]

@@ -113,7 +113,8 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], url_col: str
     verdict are the list of one cascade; the universe is every key of every URL of the table, so the answer is exact and judging a
     row needs no join. A rule given with both verdicts blocks.
 
-    NULL URLs and those without `://` have empty host and path and fit no rule. Repeated rows are judged alike. Columns of `pages`
+    NULL URLs and those without `://` have empty host and path and fit no rule. A URL of any length is judged whole: its keys are the
+    prefixes of the rules' lengths, so it has no more keys than a short one with as many host labels. Repeated rows are judged alike. Columns of `pages`
     named host, path, rule or verdict are replaced, all others stay.
     """
     spark = pages.sparkSession
