@@ -5,10 +5,11 @@ from collections import OrderedDict, deque
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .running import _null_safe_left, run_max, run_sum, running
+from .running import _null_safe_left, hot_rows, large_keys, run_max, run_sum, running
 
 # fixed values: limits per email and address, per address, and the window
 PAIR_LIMIT, ADDRESS_LIMIT, WINDOW_SECONDS = 5, 20, 15 * 60
@@ -17,11 +18,14 @@ PAIR_LIMIT, ADDRESS_LIMIT, WINDOW_SECONDS = 5, 20, 15 * 60
 def failures_within(df: DataFrame, keys: Sequence[str], at: str, failed: str, window_us: int, name: str = "n_failures") -> DataFrame:
     """Failures of the key in (at - window, at], for every row. It does not know that blocked tries are not recorded.
 
-    The count is the difference of two running counts, at `at` and at `at - window`, which split like any running value. NULL keys are
-    a key; rows whose time is NULL count the failures of that key without a time.
+    With no large key this is one window over a range of times. Otherwise the count is the difference of two running counts, at `at` and
+    at `at - window`, which split like any running value. NULL keys are a key; rows whose time is NULL count the failures of that key
+    without a time.
     """
     keys = list(keys)
     hit = F.when(F.col(failed), 1).otherwise(0).cast("long")
+    if isinstance(df.schema[at].dataType, T.IntegralType) and large_keys(df, keys, hot_rows(df)).isEmpty():
+        return df.withColumn(name, F.sum(hit).over(Window.partitionBy(*keys).orderBy(at).rangeBetween(1 - window_us, Window.currentRow)))
     marks = df.select(*keys, F.inline(F.array(F.struct(F.col(at).alias("__t"), hit.alias("__n")),
                                               F.struct((F.col(at) - window_us).alias("__t"), F.lit(0).cast("long").alias("__n")))))
     line = running(marks.groupBy(*keys, "__t").agg(F.sum("__n").alias("__n")), keys, ["__t"], {"__upto": run_sum(F.col("__n"))}).drop("__n")
