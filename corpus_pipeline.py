@@ -17,7 +17,10 @@ PACK_WORDS = 200_000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told clearly stay; a missing label is filled with it. NULL, empty and letterless texts go."""
+    """Documents whose language is told clearly stay; a missing label is filled with it. NULL, empty and letterless texts go.
+
+    Repeated rows get equal answers, so all of them stay or go. Other columns stay, also those named like the operator's own. An empty table gives an empty one.
+    """
     dictionaries = language.fit_dictionaries(docs.where(~held_out()))
     found = language.identify(docs.withColumnRenamed("lang", "__lang"), dictionaries).where("accepted")
     return found.withColumn("lang", F.coalesce("__lang", "lang_pred")).select(*[F.col(f"`{c}`") for c in docs.columns])
@@ -51,7 +54,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in as few sequences of 4096 tokens as possible."""
+    """Pieces of all documents in as few sequences of 4096 tokens as possible.
+
+    A NULL or empty text is one piece of one id; repeated rows are documents of their own; an empty table has no pieces. Other columns are not read.
+    """
     placed = packing.pack_documents(docs, vocabulary_path(), remembered=PACK_WORDS)
     return placed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
