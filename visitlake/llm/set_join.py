@@ -35,7 +35,8 @@ HUB_ROUNDS = 3
 EXTRA_EVERY = 50
 #: a table of ids up to this size is sent to all tasks; a larger one is joined by shuffle
 SMALL_ROWS = 1_000_000
-BATCH_TEXTS = 400
+#: characters of texts whose shingles are made at a time (a longer text alone): a worker's arrays are as long as its longest slice
+BATCH_CHARS = 400_000
 #: pairs of whole sets that a Python worker gets at a time
 BATCH_PAIRS = 100
 _SEEDS = np.random.default_rng(7).integers(1, 1 << 63, 2 * BANDS, dtype=np.uint64) | np.uint64(1)
@@ -80,12 +81,15 @@ class Similar:
         return F.lit(1) + F.floor(self.need(n) / EXTRA_EVERY).cast("bigint")
 
 
-def _slices(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    """Batches of (.., text) in slices of some texts, with their sets."""
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of (.., text) in slices of bounded length."""
     for batch in batches:
-        for at in range(0, batch.num_rows, BATCH_TEXTS):
-            part = batch.slice(at, BATCH_TEXTS)
-            yield part, shingle_sets(part.column(part.num_columns - 1).to_pylist(), width)
+        ends = np.cumsum([0, *(len(t or "") for t in batch.column(batch.num_columns - 1).to_pylist())])
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(ends, ends[at] + BATCH_CHARS, "right")) - 1)
+            yield batch.slice(at, end - at)
+            at = end
 
 
 def profiles(docs: DataFrame, sim: Similar) -> DataFrame:
@@ -96,7 +100,8 @@ def profiles(docs: DataFrame, sim: Similar) -> DataFrame:
     limit = np.uint64(sim.low_limit)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, sets in _slices(batches, sim.width):
+        for part in _slices(batches):
+            sets = shingle_sets(part.column(2).to_pylist(), sim.width)
             bands = np.zeros((len(sets), BANDS), np.int64)
             for i, s in enumerate(sets):
                 if len(s):
@@ -124,19 +129,17 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
     """
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made = TaskContext.get().partitionId(), set()
-        for batch in batches:
-            for at in range(0, batch.num_rows, BATCH_TEXTS):
-                part = batch.slice(at, BATCH_TEXTS)
-                fresh = [k for k, node in enumerate(part.column(0).to_pylist()) if node not in made]
-                part = part.take(pa.array(fresh, pa.int64()))
-                nodes, sigs, texts = (column.to_pylist() for column in part.columns)
-                sets, own = shingle_sets(texts, width), []
-                for k, (node, sig) in enumerate(zip(nodes, sigs)):
-                    if node not in made and signature(sets[k]) == sig:
-                        made.add(node)
-                        own.append(k)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(own, pa.int64())), pa.array([sets[k].tobytes() for k in own], pa.binary()),
-                                                  pa.array([task] * len(own), pa.int32())], names=["node", "tokens", "task"])
+        for part in _slices(batches):
+            fresh = [k for k, node in enumerate(part.column(0).to_pylist()) if node not in made]
+            part = part.take(pa.array(fresh, pa.int64()))
+            nodes, sigs, texts = (column.to_pylist() for column in part.columns)
+            sets, own = shingle_sets(texts, width), []
+            for k, (node, sig) in enumerate(zip(nodes, sigs)):
+                if node not in made and signature(sets[k]) == sig:
+                    made.add(node)
+                    own.append(k)
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(own, pa.int64())), pa.array([sets[k].tobytes() for k in own], pa.binary()),
+                                              pa.array([task] * len(own), pa.int32())], names=["node", "tokens", "task"])
         pa.default_memory_pool().release_unused()
 
     return docs.select("node", "sig", "text").mapInArrow(work, "node long, tokens binary, task int")
