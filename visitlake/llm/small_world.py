@@ -20,8 +20,8 @@ SLACK = 1e-4
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
-    # scaled by the largest component first, so squares neither overflow nor vanish
-    scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    # scaled by a power of two first, which is exact, so squares neither overflow nor vanish
+    scaled = np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, keepdims=True))[1])
     return scaled / np.sqrt(np.einsum("ij,ij->i", scaled, scaled))[:, None]
 
 
