@@ -41,6 +41,19 @@ def test_codec_special_strings_and_forgetting():
         assert [x.tolist() for x in np.split(ids, bounds[:-1])] == [direct(t) + [1] for t in texts]
 
 
+def test_runs_of_marks_after_letters_are_pieces_of_their_own():
+    rng, marks, asked = random.Random(3), ",.;:!?*#&$%()[]{}\"-+=/@^_~`\\<|>'", []
+    codec = WordCodec(vocabulary_path(), remembered=200)
+    codec._encode = lambda words, encode=codec._encode: asked.extend(words) or encode(words)
+    codec.encode(["word*** word word!! Σας### e\u0301t\u00e9...", "word!! word*** ???"])
+    assert sorted(asked) == sorted(["word", "***", "!!", "Σας", "###", "e\u0301t\u00e9...", "???"])  # each once, marks apart from letters
+    for _ in range(40):
+        texts = [" ".join(rng.choice(["le", "Été", "ΣΑΣ", "n1", "Ünd", ""]) + "".join(rng.choices(marks, k=rng.randrange(4))) + rng.choice(["", "", "s", "7"])
+                          for _ in range(30)) for _ in range(10)]
+        ids, bounds = codec.encode(texts)
+        assert [x.tolist() for x in np.split(ids, bounds[:-1])] == [direct(t) for t in texts]
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_grammar_round_trip_and_random_access(seed):
     rng = np.random.default_rng(seed)

@@ -72,17 +72,21 @@ def re_pair(ids: np.ndarray, ends: np.ndarray, base: int, end_id: int, min_count
     left, right, rounds, n = [], [], [], base
     limit = max(max_symbols, base)
     spokesman = np.zeros(SLOTS + 1, np.uint64)
-    least, newest, whole = None, n, True
+    least, fresh, whole = None, None, True
     while n < limit and len(seq) > 1:
         if whole:
             a, b = seq[:-1], seq[1:]
             # other slots in every round: a pair that shares its slot with a commoner one has its own in a later round
-            slot = ((a * np.uint32(0x9E3779B1 + 2 * len(rounds))) ^ (b * np.uint32(0x85EBCA6B))) >> np.uint32(13)
-            slot[(a == end_id) | (b == end_id)] = SLOTS
+            slot = a * np.uint32(0x9E3779B1 + 2 * len(rounds))
+            slot ^= b * np.uint32(0x85EBCA6B)
+            slot >>= np.uint32(13)
+            closed = np.flatnonzero(seq == end_id)
+            slot[closed[closed < len(slot)]] = SLOTS
+            slot[closed[closed > 0] - 1] = SLOTS
             counts = np.bincount(slot, minlength=SLOTS + 1)
             counts[SLOTS] = 0
             least = max(min_count, (int(counts.max()) if least is None else least) // SLACK)
-            places = np.flatnonzero(counts[slot] >= least)
+            places = np.flatnonzero((counts >= least)[slot])
             own = slot[places]
             pair = a[places].astype(np.uint64) << np.uint64(32) | b[places]
             spokesman[own] = pair  # of pairs that share a slot the last one speaks for it in this round
@@ -90,9 +94,8 @@ def re_pair(ids: np.ndarray, ends: np.ndarray, base: int, end_id: int, min_count
             exact = np.bincount(own[same], minlength=1)
         else:
             # what a round at the least count leaves: as a rule only pairs with one of its new symbols are frequent now
-            fresh = np.flatnonzero(seq >= newest)
-            places = np.unique(np.concatenate([fresh - 1, fresh]))
-            places = places[(places >= 0) & (places < len(seq) - 1)]
+            places = np.stack([fresh - 1, fresh], axis=1).ravel()  # ascending, with a repeat where two new symbols are neighbours
+            places = places[(places >= 0) & (places < len(seq) - 1) & (np.diff(places, append=len(seq)) > 0)]
             a, b = seq[places], seq[places + 1]
             kept = (a != end_id) & (b != end_id)
             places, pair = places[kept], a[kept].astype(np.uint64) << np.uint64(32) | b[kept]
@@ -112,7 +115,7 @@ def re_pair(ids: np.ndarray, ends: np.ndarray, base: int, end_id: int, min_count
                 break
         if not len(chosen):
             continue
-        newest, whole = n, least > min_count
+        whole = least > min_count
         places, own = places[same], own[same]
         chosen = chosen[np.argsort(-exact[chosen], kind="stable")][:limit - n]
         number = np.full(len(exact), -1)
@@ -121,9 +124,12 @@ def re_pair(ids: np.ndarray, ends: np.ndarray, base: int, end_id: int, min_count
         places, rule = places[rule >= 0], rule[rule >= 0]
         pairs = speaks[chosen]
         first = np.concatenate([[True], np.diff(places) > 1])  # of a run of overlapping occurrences every second one is taken
-        taken = (np.arange(len(places)) - np.maximum.accumulate(np.where(first, np.arange(len(places)), 0))) % 2 == 0
-        places, rule = places[taken], rule[taken]
+        if not first.all():
+            starts = np.flatnonzero(first)
+            taken = (np.arange(len(places)) - np.repeat(starts, np.diff(starts, append=len(places)))) % 2 == 0
+            places, rule = places[taken], rule[taken]
         seq[places] = n + rule
+        fresh = places - np.arange(len(places))  # where the new symbols are once their second halves are gone
         stay = np.ones(len(seq), bool)
         stay[places + 1] = False
         seq = seq[stay]
@@ -224,7 +230,7 @@ def write_grammar_files(docs: DataFrame, folder: str, path: str, id_col: str = "
                                                docs_column, pa.array([raw], pa.binary())], names=schema.names)
 
         for batch in batches:
-            texts, at, step = batch.column(1).to_pylist(), 0, 512
+            texts, at, step = batch.column(1).to_pylist(), 0, 1_000
             while at < len(texts):
                 got, bounds = words.encode_documents(texts[at:at + step], end_id)
                 while len(bounds):

@@ -3,7 +3,9 @@ from __future__ import annotations
 
 import os
 import unicodedata
+from collections import defaultdict
 from functools import lru_cache
+from itertools import compress, islice
 
 import numpy as np
 
@@ -13,7 +15,8 @@ REMEMBERED = 700_000
 _SENTINEL = "<|endoftext|>"
 #: a text with one of these is encoded whole: special tokens, and what Python but not the library takes for white space
 _WHOLE = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
-_TAILS = frozenset(",.;:!?")
+#: marks that may end a word as a run; a run of them is one piece to the library, as no letter, digit, apostrophe or part of a special token is among them
+_TAILS = ".,;:!?*#&$%()[]{}\"-+=/@^_~`\\"
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -22,25 +25,11 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-class _Index(dict):
-    """Entry number of each word met; a new word gets the next number and waits to be encoded."""
-
-    def __init__(self):
-        super().__init__()
-        #: words to encode, letters only and others, as the two fail the library's quick way at different rates
-        self.simple: tuple[dict[str, int], dict[str, int]] = {}, {}
-        self.composed: list[tuple[int, int, int]] = []
-
-    def __missing__(self, word: str) -> int:
-        core = word[:-1]
-        if word[-1] in _TAILS and core.isalpha() and unicodedata.normalize("NFC", core).lower().isalpha():
-            parts = self[core], self[word[-1]]  # letters and a mark after them never join
-            number = self[word] = len(self)
-            self.composed.append((number, *parts))
-        else:
-            number = self[word] = len(self)
-            self.simple[not word.isalpha()][word] = number
-        return number
+def _numbered() -> defaultdict[str, int]:
+    """Entry number of each word met; a new word gets the next number when it is looked up."""
+    index = defaultdict()
+    index.default_factory = index.__len__
+    return index
 
 
 class WordCodec:
@@ -61,13 +50,15 @@ class WordCodec:
         ends = np.zeros(self.library.get_vocab_size(), bool)
         ends[[i for token, i in self.library.get_vocab().items() if token.endswith("</w>")]] = True
         self.is_end = ends
+        self.index = _numbered()
         self.forget()
 
     def forget(self) -> None:
-        self.index = _Index()
+        self.index.default_factory = None  # which holds the table itself
+        self.index, self.known = _numbered(), 0  # words with numbers from `known` on wait to be encoded
         self.flat, self.used = np.empty(1 << 20, np.uint32), 0
-        self.starts = np.zeros(1 << 18, np.int64)
-        self.sizes = np.zeros(1 << 18, np.int64)
+        self.starts = np.zeros(1 << 18, np.int32)
+        self.sizes = np.zeros(1 << 18, np.int32)
         self.met = np.zeros(1 << 18, np.int64)
 
     def forget_rare(self) -> None:
@@ -79,8 +70,8 @@ class WordCodec:
         ids, _ = self._gather(often)
         sizes = self.sizes[often]
         self.forget()
-        for number, word in enumerate(words):
-            self.index[word] = number
+        self.index.update(zip(words, range(len(words))))
+        self.known = len(words)
         self._store(np.arange(len(words)), ids, sizes)
         self.met[:len(words)] = met
 
@@ -88,8 +79,8 @@ class WordCodec:
         if self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty(max(len(self.flat), len(ids)), np.uint32)])
         if len(self.index) > len(self.starts):
-            more = np.zeros(max(len(self.starts), len(self.index)), np.int64)
-            self.starts, self.sizes, self.met = (np.concatenate([x, more]) for x in (self.starts, self.sizes, self.met))
+            more = max(len(self.starts), len(self.index))
+            self.starts, self.sizes, self.met = (np.concatenate([x, np.zeros(more, x.dtype)]) for x in (self.starts, self.sizes, self.met))
         self.flat[self.used:self.used + len(ids)] = ids
         ends = np.cumsum(sizes)
         self.starts[numbers] = self.used + ends - sizes
@@ -117,21 +108,41 @@ class WordCodec:
     def _learn(self) -> None:
         """Encode the words that wait."""
         index = self.index
-        for wait in index.simple:
-            if wait:
-                self._store(np.array(list(wait.values())), *self._encode(list(wait)))
-        if index.composed:
-            number, core, tail = np.array(index.composed).T
+        #: letters only and others, as the two fail the library's quick way at different rates
+        simple, composed = (([], []), ([], [])), []
+        while self.known < len(index):
+            new = list(islice(reversed(index), len(index) - self.known))[::-1]
+            first, self.known = self.known, len(index)
+            letters = np.fromiter(map(str.isalpha, new), bool, len(new))
+            words, numbers = simple[0]
+            words += compress(new, letters)
+            numbers.append(first + np.flatnonzero(letters))
+            words, numbers = simple[1]
+            own = []
+            for place in np.flatnonzero(~letters).tolist():
+                word = new[place]
+                core = word.rstrip(_TAILS)
+                if len(core) < len(word) and core.isalpha() and unicodedata.normalize("NFC", core).lower().isalpha():
+                    composed.append((first + place, index[core], index[word[len(core):]]))  # letters and marks after them never join
+                else:
+                    words.append(word)
+                    own.append(first + place)
+            numbers.append(np.array(own, np.int64))
+        for words, numbers in simple:
+            if words:
+                self._store(np.concatenate(numbers), *self._encode(words))
+        if composed:
+            number, core, tail = np.array(composed).T
             parts = np.stack([core, tail], axis=1)
             ids, _ = self._gather(parts.ravel())
             self._store(number, ids, self.sizes[parts].sum(axis=1))
-        index.simple, index.composed = ({}, {}), []
 
     def _gather(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         sizes = self.sizes[entries]
-        ends = np.cumsum(sizes)
+        ends = np.cumsum(sizes, dtype=np.int64)
         total = int(ends[-1]) if len(ends) else 0
-        places = np.arange(total) + np.repeat(self.starts[entries] - (ends - sizes), sizes)
+        places = np.arange(total)
+        places += np.repeat(self.starts[entries] - (ends - sizes), sizes)
         return self.flat[places], ends
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
