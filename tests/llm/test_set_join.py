@@ -117,3 +117,24 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in list(root)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_near_copies_that_do_not_link_open_few_members(spark, monkeypatch):
+    """A group of near copies, and as many that differ in too many words to link: pairs grow with the copies, not with their square."""
+    sizes, kept = {}, set_join.materialise
+
+    def counted(df, name, *more):
+        table = kept(df, name, *more)
+        sizes[name] = table.count()
+        return table
+
+    monkeypatch.setattr(set_join, "materialise", counted)
+    rng = random.Random(11)
+    base, rows = [f"w{rng.randrange(3_000)}" for _ in range(140)], []
+    for i in range(240):
+        own = base[:]
+        for _ in range(rng.randrange(7)):
+            own[rng.randrange(140)] = f"x{rng.randrange(10 ** 6)}"
+        rows.append((i, " ".join(own)))
+    assert spark_rows(spark, rows, 5, 80) == brute(rows, 5, 80)
+    assert sizes["pairs"] < 2 * len(rows)

@@ -184,8 +184,8 @@ def linked_rows(docs: DataFrame, width: int, percent: int, id_col: str = "doc_id
     1. Equal sets are one node. 2. Documents that share a band of minimum hashes meet the smallest of them, are compared with it by
     their whole sets, and what links forms the groups: one comparison a row and band, however many share it. 3. The matrix: each
     node's first tokens, with its group. A node asks only groups of more members than its own (of equal ones, the larger number), as
-    a link is the same from both sides. 4. A group is opened if its union has enough of the query's shown tokens and its sizes
-    allow a link; of its members, those that share as many are compared, the most promising first, the others only where that
+    a link is the same from both sides. 4. A group is opened if its union has enough of the query's shown tokens, its sizes
+    allow a link, the query does not link with its hub, and the union has enough of the query's whole set; of its members, those that share as many are compared, the most promising first, the others only where that
     one did not link. The result is exact: every pair of similar sets ends in one component.
 
     Tokens are 64-bit hashes of shingles; equal hashes of different shingles are too rare to move a decision. NULL and empty texts
@@ -210,9 +210,11 @@ def linked_rows(docs: DataFrame, width: int, percent: int, id_col: str = "doc_id
     sets = _sets_of(texts, nodes, meet.select(F.col("a").alias("node")).union(meet.select("b")), sim)
     star = materialise(linked_pairs(meet, sets, percent), "star", BATCH_PAIRS)
     met_before = meet
+    lows = filled.select(F.col("uid").alias("node"), "low")
     for _ in range(HUB_ROUNDS):
         groups = materialise(components(star), "groups")
-        more = materialise(_meet_hubs(banded, groups, star, met_before, percent), "meet-hubs")
+        hubs = materialise(_hubs(groups, lows), "hubs")
+        more = materialise(_meet_hubs(banded, groups, hubs, met_before, percent), "meet-hubs")
         met_before = met_before.unionByName(more)
         links = materialise(linked_pairs(more, sets, percent), "star", BATCH_PAIRS)
         star = star.unionByName(links)
@@ -220,7 +222,7 @@ def linked_rows(docs: DataFrame, width: int, percent: int, id_col: str = "doc_id
             break
     else:
         groups = materialise(components(star), "groups")
-    hubs = _hubs(groups, star)
+        hubs = materialise(_hubs(groups, lows), "hubs")
     # 3: the matrix
     placed = materialise(nodes.join(groups, "node", "left").select("sig", "node", "n", "low", F.coalesce("component", "node").alias("grp")), "placed")
     group_sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
@@ -246,12 +248,16 @@ def linked_rows(docs: DataFrame, width: int, percent: int, id_col: str = "doc_id
     # 4: queries
     matrix = shown.groupBy("token", F.col("grp").alias("other"), F.col("size").alias("other_size")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
     asks = shown.join(matrix, "token").where("grp <> other and (size < other_size or (size = other_size and grp < other))")
-    asks = (asks.groupBy("node", "n", "other").agg(F.count(F.lit(1)).alias("c"), F.min("least").alias("least"), F.max("most").alias("most"))
+    asks = (asks.groupBy("node", "n", "other", "other_size").agg(F.count(F.lit(1)).alias("c"), F.min("least").alias("least"), F.max("most").alias("most"))
             .withColumns({"low": F.greatest("least", sim.need(F.col("n"))), "high": F.least("most", F.floor(100 * F.col("n") / percent).cast("bigint"))})
             # between the smallest and the largest size that may link, one of these two asks for the fewest shared tokens (less 2, as sizes are rounded)
             .where((F.col("c") >= sim.least_matches(F.col("n"))) & (F.col("low") <= F.col("high"))
                    & (sim.may_link(F.col("n"), F.col("low"), F.col("c") + 2) | sim.may_link(F.col("n"), F.col("high"), F.col("c") + 2))))
-    asks = materialise(asks.select("node", "other"), "asks")
+    asks = materialise(asks.select("node", "n", "other", "other_size", "c", "low", "least"), "asks")
+    # a group of one is its node: what they share is known
+    alone = (asks.where("other_size = 1").select(F.col("node").alias("a"), F.col("other").alias("b"), "other", F.col("n").alias("na"), F.col("least").alias("nb"), "c")
+             .where(_sizes_fit("na", "nb", percent)))
+    asks = asks.where("other_size > 1").select("node", "n", "other", "low")
     # the hub of a group first: a node that links with it need not open the group
     heads = asks.join(hubs.select(F.col("component").alias("other"), "hub"), "other").select(F.col("node").alias("a"), F.col("hub").alias("b"), "other")
     heads = materialise(heads, "heads")
@@ -261,11 +267,13 @@ def linked_rows(docs: DataFrame, width: int, percent: int, id_col: str = "doc_id
     head_links = materialise(linked_pairs(heads.select("a", "b"), sets, percent), "head-links", BATCH_PAIRS)
     joined = heads.join(head_links, ["a", "b"]).select(F.col("a").alias("node"), "other")
     asks = materialise(asks.join(joined, ["node", "other"], "left_anti"), "asks-left")
-    queries = shown.join(asks, "node").select("token", F.col("node").alias("a"), F.col("n").alias("na"), "other")
-    opened = shown.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("grp").alias("other"))
-    pairs = (queries.join(opened, ["token", "other"]).where(_sizes_fit("na", "nb", percent))
-             .groupBy("a", "b", "other", "na", "nb").agg(F.count(F.lit(1)).alias("c"))
-             .where((F.col("c") >= F.least(sim.extra(F.col("na")), sim.extra(F.col("nb")))) & sim.may_link(F.col("na"), F.col("nb"), F.col("c"))))
+    # the others: by whole sets, which are alike but for few tokens within a group
+    members = placed.select("node", F.col("n").alias("nb"), F.col("grp").alias("other")).join(asks.select("other").distinct(), "other", "left_semi")
+    known = sets.select("node")
+    sets = sets.unionByName(_sets_of(texts, nodes, members.select("node").join(known, "node", "left_anti"), sim))
+    centres, opened = _open_groups(asks, members, sets, percent)
+    pairs = opened.unionByName(alone.where((F.col("c") >= F.least(sim.extra(F.col("na")), sim.extra(F.col("nb")))) & sim.may_link(F.col("na"), F.col("nb"), F.col("c")))
+                               .select("a", "b", "other", "c"))
     pairs = materialise(pairs.select("a", "b", "other", "c"), "pairs")
     known = sets.select("node")
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(known, "node", "left_anti")
@@ -275,7 +283,7 @@ def linked_rows(docs: DataFrame, width: int, percent: int, id_col: str = "doc_id
     done = best.join(first_links, ["a", "b"]).select("a", "other")
     rest = pairs.join(done, ["a", "other"], "left_anti").join(best.select("a", "b"), ["a", "b"], "left_anti").select("a", "b")
     other_links = materialise(linked_pairs(rest, sets, percent), "other-links", BATCH_PAIRS)
-    found = components(star.union(head_links).union(first_links).union(other_links))
+    found = components(star.union(head_links).union(centres).union(first_links).union(other_links))
     # smallest id of each component, back to the rows by the set
     labels = nodes.join(found, "node", "left").select("sig", "label", F.coalesce("component", "node").alias("component"))
     labels = labels.join(labels.groupBy("component").agg(F.min("label").alias("component_id")), "component").select("sig", "component", "component_id")
@@ -326,16 +334,69 @@ def _later_tokens(texts: DataFrame, nodes: DataFrame, room: DataFrame, flagged:
     return ranked.withColumn("place", place).where("place <= missing").select("token", "node", "grp", "n")
 
 
-def _hubs(groups: DataFrame, star: DataFrame) -> DataFrame:
-    """component, size and hub (the member with the most links, the smallest among equals) of every group."""
-    degree = star.select(F.col("a").alias("node")).unionAll(star.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
-    best = F.max_by("node", F.struct("links", -F.col("node")))
-    return groups.join(degree, "node").groupBy("component").agg(F.count(F.lit(1)).alias("size"), best.alias("hub"))
+def _tokens(sets: DataFrame) -> DataFrame:
+    """node and each token of its whole set."""
+    @F.pandas_udf("array<long>")
+    def numbers(raw: pd.Series) -> pd.Series:
+        return pd.Series([np.frombuffer(x, np.int64) for x in raw])
+
+    return sets.select("node", F.explode(numbers("tokens")).alias("token"))
+
 
+def _open_groups(asks: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) of askers with their groups' centres, and the pairs (a, b, other, c) that may link of the asks which that leaves.
 
-def _meet_hubs(banded: DataFrame, groups: DataFrame, star: DataFrame, before: DataFrame, percent: int) -> DataFrame:
+    The core of a group are the tokens that most members have, its centre the member nearest to the core. Two sets share no more than
+    the lesser of their parts in the core and what they share outside. So a pair that may link either shares tokens outside, which few
+    members have, or its parts in the core are enough alone, which the centre mostly settles. Of an asker's outside tokens as many as it
+    has to share, less one, need not be looked up; those that most members have are left out.
+    """
+    enough = lambda c, n, m: (100 + percent) * c >= percent * (n + m)
+    tokens = materialise(members.join(_tokens(sets.join(members, "node", "left_semi")), "node"), "member-tokens")
+    sizes = members.groupBy("other").agg(F.count(F.lit(1)).alias("size"))
+    held = materialise(tokens.groupBy("other", "token").agg(F.count(F.lit(1)).alias("held")).join(sizes, "other")
+                       .select("other", "token", "held", (2 * F.col("held") > F.col("size")).alias("core")), "held")
+    marked = materialise(tokens.join(held, ["other", "token"]), "marked-tokens")
+    inside = marked.groupBy("other", "node", "nb").agg(F.count_if("core").alias("in_b"))
+    centre = inside.groupBy("other").agg(F.max_by("node", F.struct(2 * F.col("in_b") - F.col("nb"), -F.col("node"))).alias("b"))
+    first = materialise(asks.join(centre, "other").select(F.col("node").alias("a"), "b", "other"), "centres")
+    links = materialise(linked_pairs(first.select("a", "b"), sets, percent), "centre-links", BATCH_PAIRS)
+    asks = asks.join(first.join(links, ["a", "b"]).select(F.col("a").alias("node"), "other"), ["node", "other"], "left_anti")
+    asks = asks.select(F.col("node").alias("a"), F.col("n").alias("na"), "other", "low")
+    own = _tokens(sets.join(asks.select(F.col("a").alias("node")), "node", "left_semi")).withColumnRenamed("node", "a")
+    own = materialise(asks.join(own, "a").join(held, ["other", "token"]), "own-tokens")
+    asked = own.groupBy("a", "na", "other", "low").agg(F.count_if("core").alias("in_a"), F.count_if(~F.col("core")).alias("out_a"))
+    # with fewer tokens in the whole union than a link asks for, no member links
+    asked = asked.where(enough(F.col("in_a") + F.col("out_a"), F.col("na"), F.col("low")))
+    lack = F.ceil(percent * (F.col("na") + F.col("low")) / (100 + percent)).cast("bigint") - F.col("in_a")
+    asked = materialise(asked.withColumn("spare", F.greatest(lack - 1, F.lit(0))), "asked")
+    rarest = F.row_number().over(Window.partitionBy("a", "other").orderBy("held", "token"))
+    outer = (own.where(~F.col("core")).select("a", "other", "token", "held").join(asked, ["a", "other"])
+             .withColumn("place", rarest).where(F.col("place") <= F.col("out_a") - F.col("spare")))
+    there = marked.where(~F.col("core")).select("other", "token", F.col("node").alias("b"))
+    shared = outer.join(there, ["other", "token"]).groupBy("a", "na", "b", "other", "in_a", "spare").agg(F.count(F.lit(1)).alias("c"))
+    within = inside.withColumnRenamed("node", "b")
+    outside = shared.join(within, ["other", "b"]).withColumn("c", F.least("in_a", "in_b") + F.col("c") + F.col("spare"))
+    alike = asked.where(enough(F.col("in_a"), F.col("na"), F.col("low"))).join(within, "other").withColumn("c", F.least("in_a", "in_b"))
+    both = outside.select("a", "b", "other", "na", "nb", "c").unionByName(alike.select("a", "b", "other", "na", "nb", "c"))
+    both = both.where(_sizes_fit("na", "nb", percent) & enough(F.col("c"), F.col("na"), F.col("nb")))
+    return links, both.groupBy("a", "b", "other").agg(F.max("c").alias("c"))
+
+
+def _hubs(groups: DataFrame, lows: DataFrame) -> DataFrame:
+    """component, size and hub of every group: the member whose low tokens differ least from those of all members, the smallest among equals."""
+    tokens = groups.join(lows, "node").select("component", "node", F.explode("low").alias("token"))
+    counts = tokens.groupBy("component", "token").agg(F.count(F.lit(1)).alias("c"))
+    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    shared = tokens.join(counts, ["component", "token"]).groupBy("node").agg(F.sum("c").alias("shared"), F.count(F.lit(1)).alias("own"))
+    near = groups.join(sizes, "component").join(shared, "node", "left")
+    # of the sums of differing tokens over all members, the part that depends on the member
+    nearness = F.coalesce(2 * F.col("shared") - F.col("own") * F.col("size"), F.lit(0))
+    return near.groupBy("component").agg(F.first("size").alias("size"), F.max_by("node", F.struct(nearness, -F.col("node"))).alias("hub"))
+
+
+def _meet_hubs(banded: DataFrame, groups: DataFrame, hubs: DataFrame, before: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b): a node outside the largest group of one of its bands, and that group's hub; one pair a node and band at most."""
-    hubs = _hubs(groups, star)
     sized = hubs.join(banded.groupBy("node").agg(F.first("n").alias("nh")).withColumnRenamed("node", "hub"), "hub")
     member = banded.join(groups, "node", "left")
     tops = member.join(sized, "component").groupBy("band").agg(F.max(F.struct("size", "component", "hub", "nh")).alias("top")).select("band", "top.*")
