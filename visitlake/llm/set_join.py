@@ -213,7 +213,7 @@ def linked_rows(docs: DataFrame, width: int, percent: int, id_col: str = "doc_id
     lows = filled.select(F.col("uid").alias("node"), "low")
     for _ in range(HUB_ROUNDS):
         groups = materialise(components(star), "groups")
-        hubs = materialise(_hubs(groups, lows), "hubs")
+        hubs = _hubs(groups, lows)
         more = materialise(_meet_hubs(banded, groups, hubs, met_before, percent), "meet-hubs")
         met_before = met_before.unionByName(more)
         links = materialise(linked_pairs(more, sets, percent), "star", BATCH_PAIRS)
@@ -222,7 +222,7 @@ def linked_rows(docs: DataFrame, width: int, percent: int, id_col: str = "doc_id
             break
     else:
         groups = materialise(components(star), "groups")
-        hubs = materialise(_hubs(groups, lows), "hubs")
+        hubs = _hubs(groups, lows)
     # 3: the matrix
     placed = materialise(nodes.join(groups, "node", "left").select("sig", "node", "n", "low", F.coalesce("component", "node").alias("grp")), "placed")
     group_sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
@@ -352,11 +352,11 @@ def _open_groups(asks: DataFrame, members: DataFrame, sets: DataFrame, percent:
     has to share, less one, need not be looked up; those that most members have are left out.
     """
     enough = lambda c, n, m: (100 + percent) * c >= percent * (n + m)
-    tokens = materialise(members.join(_tokens(sets.join(members, "node", "left_semi")), "node"), "member-tokens")
+    tokens = members.join(_tokens(sets.join(members, "node", "left_semi")), "node")
     sizes = members.groupBy("other").agg(F.count(F.lit(1)).alias("size"))
-    held = materialise(tokens.groupBy("other", "token").agg(F.count(F.lit(1)).alias("held")).join(sizes, "other")
-                       .select("other", "token", "held", (2 * F.col("held") > F.col("size")).alias("core")), "held")
-    marked = materialise(tokens.join(held, ["other", "token"]), "marked-tokens")
+    tokens = tokens.withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("other", "token"))).join(sizes, "other")
+    marked = materialise(tokens.withColumn("core", 2 * F.col("held") > F.col("size")).drop("size"), "marked-tokens")
+    held = marked.select("other", "token", "held", "core").distinct()
     inside = marked.groupBy("other", "node", "nb").agg(F.count_if("core").alias("in_b"))
     centre = inside.groupBy("other").agg(F.max_by("node", F.struct(2 * F.col("in_b") - F.col("nb"), -F.col("node"))).alias("b"))
     first = materialise(asks.join(centre, "other").select(F.col("node").alias("a"), "b", "other"), "centres")
