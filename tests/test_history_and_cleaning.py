@@ -114,3 +114,24 @@ def test_rules_apply_in_order_and_are_logged(spark):
     assert clean.first()["appt_weekday"] == 4 and clean.first()["lead_days"] == 0
     with pytest.raises(Exception, match="too large"):
         cleaning.clean_visits(raw.withColumn("patient_id", F.lit(2.0 ** 53))).collect()
+
+
+def test_tasks_follow_the_visits_of_a_large_table(spark, tmp_path, monkeypatch):
+    """Each task joins and cleans few visits, also where shuffle partitions are fewer; the rows are those of merged partitions."""
+    from visitlake.plans import views
+
+    day = F.lit("1995-01-01").cast("timestamp_ntz")
+    tables = {
+        "customer": spark.range(30).select(F.col("id").alias("c_custkey"), F.lit("FIELD").alias("c_mktsegment")),
+        "orders": spark.range(200).select(F.col("id").alias("o_orderkey"), F.when(F.col("id") % 50 > 0, F.col("id") % 30).alias("o_custkey"), day.alias("o_orderdate")),
+        "lineitem": spark.range(800).select(
+            F.when(F.col("id") % 97 > 0, F.col("id") % 200).alias("l_orderkey"), (F.col("id") % 3).cast("int").alias("l_linenumber"), (F.col("id") % 51).cast("double").alias("l_quantity"),
+            F.lit(0.0).alias("l_discount"), F.lit(0.0).alias("l_tax"), F.when(F.col("id") % 4 > 0, "R").otherwise("A").alias("l_returnflag"), day.alias("l_shipdate")),
+    }
+    for name, df in tables.items():
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    merged = sorted(views.visits(spark, str(tmp_path)).collect())
+    monkeypatch.setattr(views, "TASK_ROWS", 20, raising=False)
+    split = views.visits(spark, str(tmp_path))
+    assert split.rdd.getNumPartitions() == 40
+    assert sorted(split.collect()) == merged and len(merged) > 300
