@@ -38,6 +38,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     the smallest text hash stays. Rows equal in id and text share their fate; exact deduplication leaves no such rows.
     """
     found = set_join.linked_rows(docs, NEAR_WORDS, NEAR_PERCENT).where("component IS NOT NULL")
+    found = materialise(found.select("doc_id", "text_hash", "component"), "linked")
     place = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
     first = found.groupBy("component").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1")
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))

@@ -138,3 +138,21 @@ def test_near_copies_that_do_not_link_open_few_members(spark, monkeypatch):
         rows.append((i, " ".join(own)))
     assert spark_rows(spark, rows, 5, 80) == brute(rows, 5, 80)
     assert sizes["pairs"] < 2 * len(rows)
+
+
+def test_whole_sets_without_side_tables(spark, monkeypatch):
+    """Where no id has a text twice, whole sets are made by one table written each time: every plan and job stays in the driver's memory."""
+    names, kept = [], set_join.materialise
+
+    def named(df, name, *more):
+        names.append(name)
+        return kept(df, name, *more)
+
+    monkeypatch.setattr(set_join, "materialise", named)
+    rows = cluster(5, 30, 60, 8) + [(None, "a text without an id and some words"), (None, "another text without an id and some words")]
+    assert spark_rows(spark, rows, 4, 85) == brute(rows, 4, 85)
+    assert names.count("sets") > 3 and not {"wanted", "again"} & set(names)
+    names.clear()
+    rows += rows[:10]
+    assert spark_rows(spark, rows, 4, 85) == brute(rows, 4, 85)
+    assert names.count("again") == names.count("sets")

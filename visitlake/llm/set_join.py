@@ -201,20 +201,21 @@ def linked_rows(docs: DataFrame, width: int, percent: int, id_col: str = "doc_id
     key = F.coalesce(F.min_by("text_hash", "doc_id"), F.min("text_hash")).alias("key")
     nodes = materialise(filled.groupBy("sig").agg(F.min("uid").alias("node"), F.min("doc_id").alias("label"), key, F.first("n").alias("n"),
                                                   F.first(F.size("low")).cast("bigint").alias("low"), F.first("bands").alias("bands")), "nodes")
+    wholes = Wholes(texts, nodes, sim, few=nodes.count() <= SMALL_ROWS, repeats=_repeats(filled))
     # 2: groups
     banded = nodes.select("node", "n", F.explode("bands").alias("band"))
     first = banded.groupBy("band").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("c")).where("c > 1").select("band", "a")
     meet = banded.join(first, "band").where("node <> a").select("a", F.col("node").alias("b"), F.col("n").alias("nb")).distinct()
     meet = meet.join(nodes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").where(_sizes_fit("na", "nb", percent)).select("a", "b")
     meet = materialise(meet, "meet")
-    sets = _sets_of(texts, nodes, meet.select(F.col("a").alias("node")).union(meet.select("b")), sim)
+    sets = _sets_of(wholes, meet.select(F.col("a").alias("node")).union(meet.select("b")))
     star = materialise(linked_pairs(meet, sets, percent), "star", BATCH_PAIRS)
     met_before = meet
     lows = filled.select(F.col("uid").alias("node"), "low")
     for _ in range(HUB_ROUNDS):
         groups = materialise(components(star), "groups")
-        hubs = _hubs(groups, lows)
-        more = materialise(_meet_hubs(banded, groups, hubs, met_before, percent), "meet-hubs")
+        hubs = materialise(_hubs(groups, lows), "hubs")
+        more = materialise(_meet_hubs(nodes, banded, groups, hubs, met_before, percent), "meet-hubs")
         met_before = met_before.unionByName(more)
         links = materialise(linked_pairs(more, sets, percent), "star", BATCH_PAIRS)
         star = star.unionByName(links)
@@ -222,7 +223,7 @@ def linked_rows(docs: DataFrame, width: int, percent: int, id_col: str = "doc_id
             break
     else:
         groups = materialise(components(star), "groups")
-        hubs = _hubs(groups, lows)
+        hubs = materialise(_hubs(groups, lows), "hubs")
     # 3: the matrix
     placed = materialise(nodes.join(groups, "node", "left").select("sig", "node", "n", "low", F.coalesce("component", "node").alias("grp")), "placed")
     group_sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
@@ -241,7 +242,7 @@ def linked_rows(docs: DataFrame, width: int, percent: int, id_col: str = "doc_id
              .where(~F.col("common") & (F.col("place") < sim.prefix(F.col("n")))).select("token", "node", "grp", "n"))
     commons = flagged.where("common").groupBy("node").agg(F.count(F.lit(1)).alias("c"))
     room = placed.join(commons, "node", "left").withColumn("missing", sim.prefix(F.col("n")) - F.col("low") + F.coalesce("c", F.lit(0))).where("missing > 0")
-    more = _later_tokens(texts, nodes, materialise(room.select("node", "grp", "n", "missing"), "room"), flagged, sim)
+    more = _later_tokens(wholes, materialise(room.select("node", "grp", "n", "missing"), "room"), flagged)
     sizes = group_sizes.select(F.col("component").alias("grp"), "size")
     shown = usual.unionByName(more)
     shown = materialise(shown.join(sizes, "grp", "left").withColumn("size", F.coalesce("size", F.lit(1))), "shown")
@@ -263,21 +264,21 @@ def linked_rows(docs: DataFrame, width: int, percent: int, id_col: str = "doc_id
     heads = materialise(heads, "heads")
     known = sets.select("node")
     asked = heads.select(F.col("a").alias("node")).union(heads.select("b")).distinct().join(known, "node", "left_anti")
-    sets = sets.unionByName(_sets_of(texts, nodes, asked, sim))
+    sets = sets.unionByName(_sets_of(wholes, asked))
     head_links = materialise(linked_pairs(heads.select("a", "b"), sets, percent), "head-links", BATCH_PAIRS)
     joined = heads.join(head_links, ["a", "b"]).select(F.col("a").alias("node"), "other")
     asks = materialise(asks.join(joined, ["node", "other"], "left_anti"), "asks-left")
     # the others: by whole sets, which are alike but for few tokens within a group
     members = placed.select("node", F.col("n").alias("nb"), F.col("grp").alias("other")).join(asks.select("other").distinct(), "other", "left_semi")
     known = sets.select("node")
-    sets = sets.unionByName(_sets_of(texts, nodes, members.select("node").join(known, "node", "left_anti"), sim))
+    sets = sets.unionByName(_sets_of(wholes, members.select("node").join(known, "node", "left_anti")))
     centres, opened = _open_groups(asks, members, sets, percent)
     pairs = opened.unionByName(alone.where((F.col("c") >= F.least(sim.extra(F.col("na")), sim.extra(F.col("nb")))) & sim.may_link(F.col("na"), F.col("nb"), F.col("c")))
                                .select("a", "b", "other", "c"))
     pairs = materialise(pairs.select("a", "b", "other", "c"), "pairs")
     known = sets.select("node")
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(known, "node", "left_anti")
-    sets = sets.unionByName(_sets_of(texts, nodes, asked, sim))
+    sets = sets.unionByName(_sets_of(wholes, asked))
     best = pairs.groupBy("a", "other").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
     first_links = materialise(linked_pairs(best.select("a", "b"), sets, percent), "first-links", BATCH_PAIRS)
     done = best.join(first_links, ["a", "b"]).select("a", "other")
@@ -295,26 +296,47 @@ def _sizes_fit(a: str, b: str, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _sets_of(texts: DataFrame, nodes: DataFrame, wanted: DataFrame, sim: Similar) -> DataFrame:
+def _repeats(filled: DataFrame) -> bool:
+    """Whether several rows have the same id (or none) and the same text."""
+    most = filled.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).first()[0]
+    return most is not None and most > 1
+
+
+@dataclass(frozen=True)
+class Wholes:
+    """What whole sets are made from."""
+    texts: DataFrame
+    nodes: DataFrame
+    sim: Similar
+    #: the nodes, and so any part of them, are a table that is sent to all tasks
+    few: bool
+    #: a node's text may be found in several rows
+    repeats: bool
+
+
+def _sets_of(wholes: Wholes, wanted: DataFrame) -> DataFrame:
     """Whole sets of the wanted nodes, one row each, from a text with the node's smallest id (any of its rows where none has an id)."""
-    ids = nodes.join(wanted.distinct(), "node", "left_semi").select("key", "label", "node", "sig")
-    keyed = texts.select("doc_id", "text", F.col("text_hash").alias("key"))
-    found = beside(keyed, materialise(ids, "wanted"), ["key"]).where(F.col("label").isNull() | (F.col("doc_id") == F.col("label")))
-    sets = materialise(full_sets(found, sim.width), "sets")
+    ids = wholes.nodes.join(wanted.distinct(), "node", "left_semi").select("key", "label", "node", "sig")
+    keyed = wholes.texts.select("doc_id", "text", F.col("text_hash").alias("key"))
+    found = keyed.join(F.broadcast(ids), ["key"]) if wholes.few else beside(keyed, materialise(ids, "wanted"), ["key"])
+    found = found.where(F.col("label").isNull() | (F.col("doc_id") == F.col("label")))
+    sets = materialise(full_sets(found, wholes.sim.width), "sets")
+    if not wholes.repeats:
+        return sets.select("node", "tokens")
     # rows that repeat a text may have met in several tasks; only nodes and tasks are read here
     made = sets.groupBy("node").agg(F.min("task").alias("first"), F.max("task").alias("last")).where("first <> last")
     again = sets.select("node", "task").join(made, "node").where("task <> first").select("node", "task")
     return beside(sets, materialise(again, "again"), ["node", "task"], "left_anti").select("node", "tokens")
 
 
-def _later_tokens(texts: DataFrame, nodes: DataFrame, room: DataFrame, flagged: DataFrame, sim: Similar) -> DataFrame:
+def _later_tokens(wholes: Wholes, room: DataFrame, flagged: DataFrame) -> DataFrame:
     """The shown tokens beyond the low ones, of nodes whose low tokens are too few or too common: token, node, grp, n.
 
     First tokens outside the low range, those that few groups of such nodes have before the others; then the common low ones.
     """
-    whole = _sets_of(texts, nodes, room.select("node"), sim)
+    whole = _sets_of(wholes, room.select("node"))
 
-    limit = np.uint64(sim.low_limit)
+    limit = np.uint64(wholes.sim.low_limit)
 
     @F.pandas_udf("array<long>")
     def numbers(raw: pd.Series) -> pd.Series:
@@ -395,9 +417,9 @@ def _hubs(groups: DataFrame, lows: DataFrame) -> DataFrame:
     return near.groupBy("component").agg(F.first("size").alias("size"), F.max_by("node", F.struct(nearness, -F.col("node"))).alias("hub"))
 
 
-def _meet_hubs(banded: DataFrame, groups: DataFrame, hubs: DataFrame, before: DataFrame, percent: int) -> DataFrame:
+def _meet_hubs(nodes: DataFrame, banded: DataFrame, groups: DataFrame, hubs: DataFrame, before: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b): a node outside the largest group of one of its bands, and that group's hub; one pair a node and band at most."""
-    sized = hubs.join(banded.groupBy("node").agg(F.first("n").alias("nh")).withColumnRenamed("node", "hub"), "hub")
+    sized = hubs.join(nodes.select(F.col("node").alias("hub"), F.col("n").alias("nh")), "hub")
     member = banded.join(groups, "node", "left")
     tops = member.join(sized, "component").groupBy("band").agg(F.max(F.struct("size", "component", "hub", "nh")).alias("top")).select("band", "top.*")
     pairs = member.select("band", "node", "n", F.col("component").alias("mine")).join(tops, "band").where(
