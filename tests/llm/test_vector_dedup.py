@@ -109,3 +109,31 @@ def test_a_tight_cluster_is_linked_slice_by_slice(monkeypatch):
     beam = graph.audit(vectors, 0.9, 32, 0.995, 50)
     sizes = [len(q) for q, _ in graph.slices(vectors, 0.9, beam)]
     assert sum(sizes) == 1_200 ** 2 and max(sizes[1:]) <= 20_000 and sizes[0] <= small_world.FIRST_SLICE * 1_200
+
+
+def test_a_graph_is_rows_of_one_node(spark, monkeypatch):
+    """What a shuffle or a file holds of a graph is bounded by a vector and its links, and a task by some queries."""
+    written = []
+
+    def kept(df, name, *how, real=vector_dedup.materialise):
+        out = real(df, name, *how)
+        if name == "graphs":
+            written.extend(out.selectExpr("length(links) as links", "size(vector) as width").collect())
+        return out
+
+    monkeypatch.setattr(vector_dedup, "materialise", kept)
+    for name, value in (("SHARD_VALUES", 16 * 70), ("QUERY_ROWS", 30), ("BLOCK_ROWS", 50)):
+        monkeypatch.setattr(vector_dedup, name, value)
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(30, 16))
+    rows = [(i, (base[i % 30] + 0.15 * rng.normal(size=16)).tolist()) for i in range(300)] + [(500 + i, [1.0, i % 7 + 1.0]) for i in range(20)]
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == brute(rows) and len(written) == 307 and max(r["links"] for r in written) <= 3 * 104
+
+
+def test_rows_make_the_graph_again():
+    vectors = np.random.default_rng(3).normal(size=(2_500, 8))
+    graph = Graph.build(np.arange(2_500), vectors)
+    parts = list(graph.rows())
+    again = Graph.of_rows(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), [x for p in parts for x in p[2]])
+    assert len(again.layers) == len(graph.layers) > 1 and all((a == b).all() for a, b in zip(again.layers, graph.layers)) and (again.ids == graph.ids).all()

@@ -12,7 +12,11 @@ DEGREE, BUILD_BEAM = 12, 48
 #: nodes inserted, and queries of a narrow beam searched, together
 BLOCK = 512
 #: pairs that a task holds at a time, queries of its first slice, and audited queries compared with a whole shard at once
-PAIRS, FIRST_SLICE, AUDITED = 2_000_000, 64, 32
+PAIRS, FIRST_SLICE, AUDITED = 500_000, 64, 32
+#: numbers of vectors that are copied at a time
+VALUES = 4_000_000
+#: bytes of a node's links in one layer
+LINK_BYTES = 4 * (2 * DEGREE + 2)
 #: each layer has about one node of so many of the layer below
 SHRINK = 24
 #: single precision finds candidates a little below the threshold, double precision decides
@@ -25,6 +29,14 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return scaled / np.sqrt(np.einsum("ij,ij->i", scaled, scaled))[:, None]
 
 
+def _dots(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Dot products of the rows i of a and j of b; the rows are copied a part at a time."""
+    out, step = np.empty(len(i), a.dtype), max(1, VALUES // max(1, a.shape[1]))
+    for at in range(0, len(i), step):
+        out[at:at + step] = np.einsum("kd,kd->k", a[i[at:at + step]], b[j[at:at + step]])
+    return out
+
+
 def beam_search(x: np.ndarray, links: np.ndarray, queries: np.ndarray, entry: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """The `beam` nodes of the graph found nearest to each query, with cosines, best first; -1 and -2 where fewer were met."""
     b = len(queries)
@@ -65,7 +77,7 @@ def beam_search(x: np.ndarray, links: np.ndarray, queries: np.ndarray, entry: np
         r, c = np.nonzero(fresh)
         seen[active[r], near[r, c]] = True
         got = np.full(near.shape, -2.0, np.float32)
-        got[r, c] = np.einsum("kd,kd->k", x[near[r, c]], queries[active[r]])
+        got[r, c] = _dots(x, near[r, c], queries, active[r])
         all_sims = np.concatenate([sims[active], got], axis=1)
         all_ids = np.concatenate([ids[active], np.where(fresh, near, -1)], axis=1)
         all_done = np.concatenate([done[active], ~fresh], axis=1)
@@ -190,9 +202,31 @@ class Graph:
         with np.load(io.BytesIO(raw)) as parts:
             return cls(parts["ids"], parts["vectors"], [parts[f"layer{k}"].astype(np.int64) for k in range(len(parts.files) - 2)])
 
+    def rows(self) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+        """Ids, vectors and links of the nodes in order, some at a time: what `of_rows` makes the graph of again."""
+        packed = [v.astype("<i4") for v in self.layers]
+        for at in range(0, len(self.ids), 1_000):
+            end = min(at + 1_000, len(self.ids))
+            yield self.ids[at:end], self.vectors[at:end], [b"".join(v[k].tobytes() for v in packed if k < len(v)) for k in range(at, end)]
+
+    @classmethod
+    def of_rows(cls, ids: np.ndarray, vectors: np.ndarray, links: list[bytes]) -> Graph:
+        """A layer is the first nodes in order, so a node's layers are counted by the length of its links."""
+        height = np.array([len(x) // LINK_BYTES for x in links])
+        sizes = [int((height > k).sum()) for k in range(height.max(initial=0))]
+        parts = [b"".join(x[k * LINK_BYTES:(k + 1) * LINK_BYTES] for x in links[:n]) for k, n in enumerate(sizes)]
+        return cls(ids, vectors, [np.frombuffer(x, "<i4").reshape(n, -1) for x, n in zip(parts, sizes)])
+
     def __post_init__(self):
-        self.unit64 = unit(self.vectors) if len(self.vectors) else self.vectors
-        self.x = self.unit64.astype(np.float32)
+        # in double precision vectors are scaled when they are asked for
+        self.x = np.empty(self.vectors.shape, np.float32)
+        for at, part in self._scaled():
+            self.x[at:at + len(part)] = part
+
+    def _scaled(self) -> Iterator[tuple[int, np.ndarray]]:
+        step = max(1, VALUES // max(1, self.vectors.shape[-1]))
+        for at in range(0, len(self.vectors), step):
+            yield at, unit(self.vectors[at:at + step])
 
     def _beam(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         entry = np.zeros((len(queries), 1), np.int64)
@@ -214,17 +248,24 @@ class Graph:
                 full = (sims[:, -1] >= threshold - SLACK) & (width < len(self.ids))
                 r, c = np.nonzero((sims >= threshold - SLACK) & ~full[:, None])
                 r, n = rows[r], ids[r, c]
-                exact = np.einsum("kd,kd->k", q64[r], self.unit64[n]) >= threshold
+                exact = self._cosines(q64, r, n) >= threshold
                 found_q.append(r[exact])
                 found_n.append(n[exact])
                 again.append(rows[full])
             todo, width = np.concatenate(again), min(4 * width, len(self.ids))
         return np.concatenate(found_q), np.concatenate(found_n)
 
+    def _cosines(self, q64: np.ndarray, rows: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+        out, step = np.empty(len(rows)), max(1, VALUES // max(1, q64.shape[1]))
+        for at in range(0, len(rows), step):
+            out[at:at + step] = np.einsum("kd,kd->k", q64[rows[at:at + step]], unit(self.vectors[nodes[at:at + step]]))
+        return out
+
     def audit(self, queries: np.ndarray, threshold: float, beam: int, recall: float, every: int) -> int:
         """The beam, doubled until the pairs found for every `every`-th query are at least `recall` of all, by brute force."""
         sample = np.arange(0, len(queries), every)
-        truth = sum(np.count_nonzero(unit(queries[sample[at:at + AUDITED]]) @ self.unit64.T >= threshold) for at in range(0, len(sample), AUDITED))
+        asked = unit(queries[sample])
+        truth = sum(np.count_nonzero(asked[at:at + AUDITED] @ part.T >= threshold) for _, part in self._scaled() for at in range(0, len(sample), AUDITED))
         while beam < len(self.ids) and sum(len(got) for got, _ in self.slices(queries[sample], threshold, beam)) < recall * truth:
             beam *= 2
         return beam
